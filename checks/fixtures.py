@@ -5,69 +5,59 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PRODUCTS = 10
-CATEGORIES = 6
+# Schemas of the tables read here; stating them saves a pass over the file footers.
+SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_extendedprice double, l_returnflag string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz",
+    "part": "p_partkey bigint, p_brand string, p_type string",
+}
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def _labels(spark: SparkSession, folder: str) -> DataFrame:
     """Labels of the ten products: at most ten rows, one per key, hence safe to broadcast."""
-    part = _table(spark, folder, "part").where(F.col("p_partkey").between(0, PRODUCTS - 1))
-    return F.broadcast(part.select(F.col("p_partkey").alias("product_id"), "p_type", "p_brand"))
+    return F.broadcast(_table(spark, folder, "part").where("p_partkey BETWEEN 0 AND 9"))
 
 
 def raw_events(spark: SparkSession, folder: str) -> DataFrame:
     """A dirty log: padded and upper-case types, blank and NULL labels, odd prices, blank sessions; ``src`` is the file."""
-    event = F.col("event_id")
-    keyed = _table(spark, folder, "events").withColumn(
-        "product_id", F.get_json_object("props", "$.k").cast("bigint") % PRODUCTS
+    keyed = _table(spark, folder, "events").selectExpr(
+        "*", "cast(get_json_object(props, '$.k') AS bigint) % 10 AS product_id"
     )
-    product = F.col("product_id")
-    session = F.concat_ws("-", F.col("user_id").cast("string"), F.expr("dayofyear(ts) div 7").cast("string"))
-    return keyed.join(_labels(spark, folder), "product_id", "left").select(
-        F.substring(F.col("ts").cast("string"), 1, 19).alias("event_time"),
-        F.when(F.col("event_type") == "click", " Cart ")
-        .when(F.col("event_type") == "purchase", "PURCHASE")
-        .otherwise(F.col("event_type"))
-        .alias("event_type"),
-        product,
-        (product % CATEGORIES).alias("category_id"),
-        F.when(product == 9, "").otherwise(F.col("p_type")).alias("category_code"),
-        F.when(product == 9, None).when(product == 8, "  ").otherwise(F.col("p_brand")).alias("brand"),
-        F.when(event % 97 == 0, 0.0)
-        .when(event % 101 == 0, -F.col("value"))
-        .when(event % 103 == 0, None)
-        .otherwise(F.col("value"))
-        .alias("price"),
+    return keyed.join(_labels(spark, folder), F.expr("product_id = p_partkey"), "left").selectExpr(
+        "substring(cast(ts AS string), 1, 19) AS event_time",
+        "CASE event_type WHEN 'click' THEN ' Cart ' WHEN 'purchase' THEN 'PURCHASE' ELSE event_type END AS event_type",
+        "product_id",
+        "product_id % 6 AS category_id",
+        "CASE WHEN product_id = 9 THEN '' ELSE p_type END AS category_code",
+        "CASE WHEN product_id = 9 THEN NULL WHEN product_id = 8 THEN '  ' ELSE p_brand END AS brand",
+        "CASE WHEN event_id % 97 = 0 THEN 0D WHEN event_id % 101 = 0 THEN -value "
+        "WHEN event_id % 103 = 0 THEN NULL ELSE value END AS price",
         "user_id",
-        F.when(event % 89 == 0, "").otherwise(session).alias("user_session"),
-        F.when(F.col("ts") < F.lit("2024-01-16 00:00:00").cast("timestamp_ntz"), "part_a").otherwise("part_b").alias("src"),
+        "CASE WHEN event_id % 89 = 0 THEN '' ELSE concat(user_id, '-', dayofyear(ts) div 7) END AS user_session",
+        "CASE WHEN ts < TIMESTAMP_NTZ '2024-01-16 00:00:00' THEN 'part_a' ELSE 'part_b' END AS src",
     )
 
 
 def raw_purchases(spark: SparkSession, folder: str) -> DataFrame:
     """A log over many months: order lines as view, cart or purchase events of yearly sessions."""
-    lines = _table(spark, folder, "lineitem").withColumn("product_id", F.col("l_partkey") % PRODUCTS)
-    orders = _table(spark, folder, "orders")
-    product, buyer = F.col("product_id"), F.col("o_custkey")
+    lines = _table(spark, folder, "lineitem").selectExpr("*", "l_partkey % 10 AS product_id")
     return (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(_labels(spark, folder), "product_id", "left")
-        .select(
-            F.col("o_orderdate").alias("event_time"),
-            F.when(F.col("l_returnflag") == "N", "view")
-            .when(F.col("l_returnflag") == "A", "cart")
-            .otherwise("purchase")
-            .alias("event_type"),
-            product,
-            (product % CATEGORIES).alias("category_id"),
-            F.when(product == 9, "").otherwise(F.col("p_type")).alias("category_code"),
-            F.when(product == 9, None).otherwise(F.col("p_brand")).alias("brand"),
-            (F.floor("l_extendedprice") / F.lit(100.0)).alias("price"),
-            buyer.alias("user_id"),
-            F.concat_ws("-", buyer.cast("string"), F.year("o_orderdate").cast("string")).alias("user_session"),
+        lines.join(_table(spark, folder, "orders"), F.expr("l_orderkey = o_orderkey"))
+        .join(_labels(spark, folder), F.expr("product_id = p_partkey"), "left")
+        .selectExpr(
+            "o_orderdate AS event_time",
+            "CASE l_returnflag WHEN 'N' THEN 'view' WHEN 'A' THEN 'cart' ELSE 'purchase' END AS event_type",
+            "product_id",
+            "product_id % 6 AS category_id",
+            "CASE WHEN product_id = 9 THEN '' ELSE p_type END AS category_code",
+            "CASE WHEN product_id = 9 THEN NULL ELSE p_brand END AS brand",
+            "floor(l_extendedprice) / 100D AS price",
+            "o_custkey AS user_id",
+            "concat(o_custkey, '-', year(o_orderdate)) AS user_session",
         )
     )
