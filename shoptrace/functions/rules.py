@@ -70,8 +70,16 @@ def blank_to_null(text: Column | str) -> Column:
 
 
 def strip(text: Column | str) -> Column:
-    """Trim all whitespace, NULL becomes empty."""
-    return F.coalesce(F.btrim(as_col(text).cast("string"), F.lit(WHITESPACE)), F.lit(""))
+    """Trim all whitespace, NULL becomes empty. Text that begins and ends in printable ASCII skips the costly trim."""
+    t = as_col(text).cast("string")
+    clean = F.ascii(t).between(33, 126) & F.ascii(F.substring(t, -1, 1)).between(33, 126)
+    return F.coalesce(F.when(clean, t).otherwise(F.btrim(t, F.lit(WHITESPACE))), F.lit(""))
+
+
+def is_blank(text: Column | str) -> Column:
+    """NULL, empty or only whitespace; one look at the first character settles almost every row."""
+    t = as_col(text).cast("string")
+    return F.when(F.ascii(t).between(33, 126), False).otherwise(F.coalesce(F.btrim(t, F.lit(WHITESPACE)), F.lit("")) == "")
 
 
 def month_of(day: Column | str) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoptrace.functions.rules import pct, strip
+from shoptrace.functions.rules import is_blank, pct, strip
 from shoptrace.operators.ordering import hash_text, smallest_by_hash
 from shoptrace.sources.tables import materialise
 
@@ -66,7 +66,7 @@ def audit_missing(raw: DataFrame, by: Sequence[str] = PER_FILE) -> DataFrame:
     """Blank or NULL values per column, most first; columns without any are kept with 0."""
     names = [c for c in raw.columns if c not in PER_FILE]
     wide = raw.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_rows"), *[F.count_if(strip(c) == "").alias(c) for c in names]
+        F.count(F.lit(1)).alias("_rows"), *[F.count_if(is_blank(c)).alias(c) for c in names]
     )
     return (
         wide.unpivot([*by, "_rows"], names, "column_name", "missing")
@@ -86,14 +86,33 @@ def audit_price_checks(raw: DataFrame, by: Sequence[str] = PER_FILE, high: float
 
 
 def audit_top_prices(raw: DataFrame, per_file: int = 5) -> DataFrame:
-    """The dearest rows of each file. Each task passes on at most ``per_file`` rows per file."""
-    rows = raw.select(
-        "src",
-        _price().alias("price"),
-        strip("product_id").alias("product_id"),
-        F.coalesce(_filled("brand"), F.lit(MISSING)).alias("brand"),
-        F.coalesce(_filled("category_code"), F.lit(MISSING)).alias("category_code"),
-    ).where(F.col("price").isNotNull())
+    """The dearest rows of each file.
+
+    The top rows of a file lie within its ``per_file`` greatest distinct prices, so those are found first from two narrow
+    columns, and only rows at or above the last of them are ranked: the log itself is neither sorted nor, as long as the
+    written cut-offs (one row per file) are small enough for Spark to broadcast, shuffled.
+    """
+    prices = raw.select("src", _price().alias("price")).where(F.col("price").isNotNull()).distinct()
+    by_price = Window.partitionBy("src").orderBy(F.desc("price"))
+    cutoffs = materialise(
+        prices.withColumn("nth", F.row_number().over(by_price))
+        .where(F.col("nth") <= per_file)
+        .groupBy("src")
+        .agg(F.min("price").alias("cutoff")),
+        "price-cutoffs",
+    )
+    rows = (
+        raw.withColumn("price", _price())
+        .join(cutoffs, "src")
+        .where(F.col("price") >= F.col("cutoff"))
+        .select(
+            "src",
+            "price",
+            strip("product_id").alias("product_id"),
+            F.coalesce(_filled("brand"), F.lit(MISSING)).alias("brand"),
+            F.coalesce(_filled("category_code"), F.lit(MISSING)).alias("category_code"),
+        )
+    )
     dearest = Window.partitionBy("src").orderBy(
         F.desc("price"), F.desc("product_id"), F.desc("brand"), F.desc("category_code")
     )

@@ -42,8 +42,8 @@ def mann_whitney(df: DataFrame, value: str, group: str, a, b, base: str = "a") -
     here_a, here_b = _exact(F.col("n_a")), _exact(F.col("n_b"))
     tied = _exact(here_a + here_b)
     sums = with_cumulative(counts, "v", ["n_a", "n_b"]).agg(
-        F.sum("n_a").alias("n_a"),
-        F.sum("n_b").alias("n_b"),
+        F.coalesce(F.sum("n_a"), F.lit(0)).alias("n_a"),
+        F.coalesce(F.sum("n_b"), F.lit(0)).alias("n_b"),
         F.sum(_exact(here_a * _exact(_exact(F.col("n_b_before")) * 2 + here_b))).alias("twice_u"),
         F.sum(_exact(_exact(_exact(tied * tied) * tied) - tied)).alias("ties"),
         six_places(quantile(0.5, "v", "n_a")).alias("median_a"),

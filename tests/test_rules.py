@@ -36,8 +36,9 @@ def test_division_by_zero_is_null(spark):
 def test_blank_and_strip(spark):
     assert one(spark, rules.blank_to_null(F.lit("   "))) is None
     assert one(spark, rules.blank_to_null(F.lit(" a "))) == "a"
-    for text in ("\t x \n", " x　", "\x1cx", "", " \t\r\n", None):
+    for text in ("\t x \n", " x　", "\x1cx", "x\u2003", "\u00e9 ", "\u2003", "plain", "", " \t\r\n", None):
         assert one(spark, rules.strip(F.lit(text).cast("string"))) == (text or "").strip()
+        assert one(spark, rules.is_blank(F.lit(text).cast("string"))) == (not (text or "").strip())
 
 
 def test_month_arithmetic(spark):
