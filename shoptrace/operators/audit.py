@@ -23,7 +23,7 @@ HIGH_PRICE = 10_000
 
 def _filled(name: str) -> Column:
     """Stripped text; blank is NULL."""
-    return F.nullif(strip(name), F.lit(""))
+    return F.when(~is_blank(name), strip(name))
 
 
 def _price() -> Column:
