@@ -4,8 +4,9 @@ One hash of each five-word shingle fills all bins of a signature: its leading bi
 Empty bins borrow from a bin that a universal hash of (bin, attempt) chooses, the same for every document (optimal
 densification). Bands of bins key buckets. Candidate pairs are stars: in each bucket one centre meets the other members,
 never all pairs. Each pair is confirmed on the full shingle sets. A bucket whose members still lie in different components
-after a round gives up its centre and goes into the next round with a new one, so no link that a bucket shows is lost, and
-most buckets end after one round because their members are already connected.
+after a round gives up its centres and goes into the next round with new ones, so no link that a bucket shows is lost. Most
+buckets end after one round because their members are connected, or because a member has too many shingles of its own to be
+linked with anything; this bound is exact and keeps large families of loosely similar texts from being compared pair by pair.
 
 With ``BANDS`` bands of ``ROWS`` bins, a pair of similarity 0.85 shares no bucket with a probability below 1e-8.
 
@@ -112,11 +113,37 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def star_pairs(buckets: DataFrame, centres: DataFrame) -> DataFrame:
-    """Distinct (a, b): each centre of a bucket with every later member of another component whose set size allows a link."""
-    c = centres.select("bucket", F.col("node").alias("a"), F.col("n_shingles").alias("size_a"), F.col("component").alias("in_a"))
-    pairs = buckets.join(c, "bucket").filter((F.col("a") < F.col("node")) & (F.col("in_a") != F.col("component")))
-    few, many = F.least("n_shingles", "size_a"), F.greatest("n_shingles", "size_a")
-    return pairs.filter(100 * few >= SIMILAR_PERCENT * many).select("a", F.col("node").alias("b")).distinct()
+    """Distinct (a, b): each centre of a bucket with every later member of another component that could be linked.
+
+    ``able`` counts a node's shingles that any other candidate has at all; no pair shares more than the lesser of two such
+    counts, which bounds its similarity.
+    """
+    c = centres.select("bucket", *(F.col(x).alias(f"{x}_a") for x in ("node", "n_shingles", "able", "component")))
+    m = buckets.alias("m")
+    shared = F.least("m.able", "able_a")
+    possible = 100 * shared >= SIMILAR_PERCENT * (F.col("m.n_shingles") + F.col("n_shingles_a") - shared)
+    apart = (F.col("node_a") < F.col("m.node")) & (F.col("component_a") != F.col("m.component"))
+    pairs = m.join(c.alias("c"), (F.col("m.bucket") == F.col("c.bucket")) & apart & possible)
+    return pairs.select(F.col("node_a").alias("a"), F.col("m.node").alias("b")).distinct()
+
+
+def unresolved(buckets: DataFrame) -> DataFrame:
+    """The rows of buckets that hold more than one component."""
+    split = buckets.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return buckets.join(split.filter("low < high").select("bucket"), "bucket")
+
+
+def linkable(buckets: DataFrame, sets: DataFrame) -> DataFrame:
+    """``buckets`` with ``able`` counted anew among the nodes still in it, without nodes that cannot reach any other.
+
+    A shingle that only one of these nodes has can be in no intersection.
+    """
+    inside = sets.join(buckets.select("node").distinct(), "node")
+    each = inside.select("node", F.explode("shingles").alias("shingle"))
+    common = each.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1").select("shingle")
+    able = each.join(common, "shingle").groupBy("node").agg(F.count("*").alias("able"))
+    counted = buckets.drop("able").join(able, "node")
+    return counted.filter(100 * F.col("able") >= SIMILAR_PERCENT * F.col("n_shingles"))
 
 
 def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -126,7 +153,9 @@ def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """
     members = nodes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    buckets = members.join(shared.select("bucket"), "bucket").distinct().withColumn("component", F.col("node"))
+    buckets = members.join(shared.select("bucket"), "bucket").distinct()
+    columns = ["bucket", "node", "n_shingles", "able", "component"]
+    buckets = buckets.withColumn("able", F.col("n_shingles")).withColumn("component", F.col("node")).select(columns)
     buckets = materialise(buckets, "buckets")
     involved = buckets.select("node").distinct()
     schema = "node long, shingles array<long>"
@@ -147,9 +176,8 @@ def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
             labels = components(found)
         rest = buckets.drop("component").join(centres.select("bucket", "node"), ["bucket", "node"], "left_anti")
         rest = rest.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        split = rest.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        columns = ["bucket", "node", "n_shingles", "component"]
-        buckets = materialise(rest.join(split.filter("low < high").select("bucket"), "bucket").select(columns), "buckets")
+        rest = materialise(unresolved(rest.select(columns)).select(columns), "buckets")
+        buckets = materialise(unresolved(linkable(rest, sets).select(columns)).select(columns), "buckets")
         width *= 4
         if buckets.limit(1).count() == 0:
             return labels
