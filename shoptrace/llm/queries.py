@@ -6,10 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shoptrace.llm import mixing, near_dedup, packing, pii, quality_rules
+from shoptrace.llm import (
+    fingerprints,
+    mixing,
+    near_dedup,
+    packing,
+    pii,
+    quality_classifier,
+    quality_rules,
+    sharding,
+    suffix_dedup,
+    token_counts,
+)
 from shoptrace.llm.shared import documents, ship
 
 
+def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.assign(documents(spark, folder))
+
+
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     ship(spark)
     return quality_rules.judge(documents(spark, folder))
@@ -33,7 +48,31 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.schedule(documents(spark, folder))
 
 
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    ship(spark)
+    return quality_classifier.classify(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
+def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    ship(spark)
+    return fingerprints.fingerprints(documents(spark, folder))
+
+
+def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    ship(spark)
+    return suffix_dedup.repeated_strings(documents(spark, folder))
+
+
+def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    ship(spark)
+    return token_counts.length_histogram(documents(spark, folder))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_rules, op3_near_dedup, op4_pii, op5_packing, op6_mixing)
+    f.__name__: f
+    for f in (
+        op1_sharding, op2_quality_rules, op3_near_dedup, op4_pii, op5_packing, op6_mixing, op7_quality_classifier,
+        op8_fingerprints, op9_suffix_dedup, op10_token_counts,
+    )
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op1_sharding": sharding.ORACLE}
