@@ -153,7 +153,8 @@ def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """
     members = nodes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    buckets = members.join(shared.select("bucket"), "bucket").distinct()
+    shared = materialise(shared.select("bucket"), "shared")  # written, so that the join below can split hot buckets
+    buckets = members.join(shared, "bucket").distinct()
     columns = ["bucket", "node", "n_shingles", "able", "component"]
     buckets = buckets.withColumn("able", F.col("n_shingles")).withColumn("component", F.col("node")).select(columns)
     buckets = materialise(buckets, "buckets")

@@ -321,7 +321,7 @@ def repeated_strings(docs: DataFrame, class_spans: int = CLASS_SPANS) -> DataFra
 
     # 1. samples whose string occurs again
     names = scanned.mapInArrow(_sample_names, "sample long").groupBy("sample").agg(F.count("*").alias("n"))
-    again = names.filter("n > 1").select("sample")
+    again = materialise(names.filter("n > 1").select("sample"), "again")  # written, so that the join below can split hot samples
     found = scanned.mapInArrow(_sample_rows, "sample long, span long, doc long, place long").join(again, "sample")
     found = materialise(found, "samples")
 
