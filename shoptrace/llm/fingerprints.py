@@ -207,5 +207,5 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     extra = F.struct(F.col("before").alias("part"), F.lit(True).alias("guest"))
     spread = joined.withColumn("at", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, extra))))
     spread = spread.select("at.part", "at.guest", "key", "h", "doc_id", "text")
-    order = spread.repartition(parts, "part").sortWithinPartitions("part", "guest", "key", "h")
+    order = spread.repartitionByRange(parts, "part").sortWithinPartitions("part", "guest", "key", "h")
     return order.select("part", "guest", "doc_id", "text").mapInArrow(_in_order, _COLUMNS)
