@@ -1,7 +1,7 @@
 """Column rules every operator shares.
 
 Money is carried as whole cents in BIGINT: sums are exact, do not depend on the order of rows, stay in the fixed-width
-aggregation buffers of generated code, and overflow raises (ANSI) instead of wrapping. Prices have two decimals by contract.
+aggregation buffers of generated code, and overflow raises (ANSI) instead of wrapping. Prices have two decimals; a finer one is refused.
 Rounding is half-up through ``floor``, which gives the same double in every engine, unlike ``round`` on doubles.
 """
 
@@ -21,8 +21,13 @@ def as_col(c: Column | str) -> Column:
 
 
 def cents(price: Column | str) -> Column:
-    """Price as whole cents."""
-    return F.floor(as_col(price).cast("double") * 100 + 0.5).cast("bigint")
+    """Price as whole cents; a price with a fraction of a cent raises, since its sum would be wrong."""
+    amount = as_col(price).cast("double")
+    whole = F.floor(amount * 100 + 0.5)
+    # a double holds a price to about 16 digits
+    finer = F.abs(amount * 100 - whole) > F.greatest(F.lit(1e-6), F.abs(whole) * 1e-12)
+    fault = F.raise_error(F.concat(F.lit("price with a fraction of a cent: "), amount.cast("string")))
+    return F.when(finer, fault.cast("bigint")).otherwise(whole.cast("bigint"))
 
 
 def money(whole_cents: Column | str) -> Column:

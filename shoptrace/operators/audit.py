@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoptrace.functions.rules import is_blank, pct, strip
-from shoptrace.operators.ordering import hash_text, smallest_by_hash
+from shoptrace.operators.ordering import hash_text
 from shoptrace.sources.tables import materialise
 
 PER_FILE = ("src",)
@@ -30,26 +30,79 @@ def _price() -> Column:
     return _filled("price").cast("double")
 
 
-def _sketch(name: str) -> Column:
-    return F.theta_sketch_agg(_filled(name))
+def kmv_hashes(
+    raw: DataFrame, columns: Sequence[str], by: Sequence[str] = PER_FILE, k: int = KMV_SIZE, slack: float = 1.5
+) -> DataFrame:
+    """The k smallest distinct hashes of each column per group: a sketch that merges by union and another cut to k.
 
+    A rough count of distinct values, a few bytes per group and task, first bounds the hashes worth looking at; only about
+    k of each group are then shuffled. A group left with too few has its bound widened. Columns: by, column_name, h.
+    """
+    each = raw.select(
+        *by, F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), _filled(c).alias("v")) for c in columns])).alias("e")
+    ).select(*by, "e.column_name", "e.v")
+    each = each.where(F.col("v").isNotNull())
+    keys = [*by, "column_name"]
+    rough = materialise(each.groupBy(*keys).agg(F.approx_count_distinct("v").alias("rough")), "rough-counts")
+    place = F.conv(F.substring("h", 1, 12), 16, 10).cast("bigint") / F.lit(float(1 << 48))
+    while True:
+        share = F.lit(k * slack + 64) / F.greatest(F.col("rough"), F.lit(1))
+        near = each.join(rough, keys).select(*keys, hash_text(F.col("v")).alias("h"), share.alias("share"))
+        near = materialise(near.where(place < F.col("share")).groupBy(*keys, "h").agg(F.max("share").alias("share")), "near")
+        found = near.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("share").alias("share"))
+        groups = rough.withColumn("bound", share).join(found.select(*keys, "n"), keys, "left")
+        if groups.where((F.coalesce("n", F.lit(0)) < k) & (F.col("bound") < 1)).limit(1).count() == 0:
+            return _smallest(near, keys, k)
+        slack *= 4
+
+
+def _smallest(hashes: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("h"))
+    return hashes.withColumn("_rank", rank).where(F.col("_rank") <= k).select(*keys, "h")
+
+
+def kmv_merge(hashes: DataFrame, k: int = KMV_SIZE) -> DataFrame:
+    """Sketches of several groups as one sketch per column."""
+    return _smallest(hashes.select("column_name", "h").distinct(), ["column_name"], k)
+
+
+def kmv_estimate(hashes: DataFrame, by: Sequence[str] = (), k: int = KMV_SIZE) -> DataFrame:
+    """Distinct estimate per sketch: exact below k. Columns: by, column_name, hashes_kept, distinct_estimate."""
+    summary = hashes.groupBy(*by, "column_name").agg(F.count(F.lit(1)).alias("hashes_kept"), F.max("h").alias("kth"))
+    kth = F.conv("kth", 16, 10).cast("decimal(20,0)").cast("double")
+    estimate = F.floor(F.lit(float(k - 1)) / F.nullif(kth / F.lit(float((1 << 64) - 1)), F.lit(0.0)))
+    return summary.select(
+        *by,
+        "column_name",
+        "hashes_kept",
+        F.when(F.col("hashes_kept") < k, F.col("hashes_kept"))
+        .otherwise(F.coalesce(estimate, F.col("hashes_kept")))
+        .alias("distinct_estimate"),
+    )
 
-def audit_overview(raw: DataFrame, by: Sequence[str] = PER_FILE) -> DataFrame:
-    """Rows, least and greatest event time (as text), approximate distinct users and sessions.
 
-    The sketches put the aggregate on Spark's object-hash path, which also holds the text minimum and maximum without
-    sorting the log by file.
-    """
-    time = _filled("event_time")
-    return (
-        raw.groupBy(*by)
-        .agg(
-            F.count(F.lit(1)).alias("row_count"),
-            F.min(time).alias("min_event_time"),
-            F.max(time).alias("max_event_time"),
-            F.theta_sketch_estimate(_sketch("user_id")).alias("distinct_users"),
-            F.theta_sketch_estimate(_sketch("user_session")).alias("distinct_sessions"),
-        )
+DISTINCT = {"user_id": "distinct_users", "user_session": "distinct_sessions"}
+
+
+def _times(raw: DataFrame, by: Sequence[str], measures: Sequence[Column], folded: Sequence[Column]) -> DataFrame:
+    """Measures per group with the least and greatest event time. Times are grouping keys first: text minima would be sorted."""
+    by_time = raw.groupBy(*by, _filled("event_time").alias("_time")).agg(*measures)
+    return by_time.groupBy(*by).agg(*folded, F.min("_time").alias("min_event_time"), F.max("_time").alias("max_event_time"))
+
+
+def audit_overview(raw: DataFrame, by: Sequence[str] = PER_FILE) -> DataFrame:
+    """Rows, least and greatest event time (as text), approximate distinct users and sessions."""
+    n = F.coalesce(F.sum("_n"), F.lit(0)).alias("row_count")
+    counts = _times(raw, by, [F.count(F.lit(1)).alias("_n")], [n])
+    estimates = kmv_estimate(kmv_hashes(raw, list(DISTINCT), by), by)
+    if not by:
+        for column, name in DISTINCT.items():
+            one = estimates.where(F.col("column_name") == column).select("distinct_estimate").scalar()
+            counts = counts.withColumn(name, F.coalesce(one, F.lit(0)))
+        return counts
+    wide = estimates.groupBy(*by).pivot("column_name", list(DISTINCT)).agg(F.max("distinct_estimate"))
+    return counts.join(wide, list(by), "left").select(
+        *counts.columns, *[F.coalesce(column, F.lit(0)).alias(name) for column, name in DISTINCT.items()]
     )
 
 
@@ -134,47 +187,33 @@ def audit_top_prices_combined(top_prices: DataFrame, k: int = 10) -> DataFrame:
 
 def kmv_distinct(df: DataFrame, column: str, k: int = KMV_SIZE) -> DataFrame:
     """Distinct estimate from the k smallest hash values; exact below k. Columns: hashes_kept, distinct_estimate."""
-    hashes = df.where(_filled(column).isNotNull()).select(hash_text(_filled(column)).alias("h")).distinct()
-    kept = smallest_by_hash(materialise(hashes, "hashes"), k)
-    summary = kept.agg(F.count(F.lit(1)).alias("hashes_kept"), F.max("h").alias("kth"))
-    kth = F.conv("kth", 16, 10).cast("decimal(20,0)").cast("double")
-    estimate = F.floor(F.lit(float(k - 1)) / F.nullif(kth / F.lit(float((1 << 64) - 1)), F.lit(0.0)))
-    return summary.select(
-        "hashes_kept",
-        F.when(F.col("hashes_kept") < k, F.col("hashes_kept"))
-        .otherwise(F.coalesce(estimate, F.col("hashes_kept")))
-        .alias("distinct_estimate"),
-    )
+    found = kmv_estimate(kmv_hashes(df, [column], (), k), (), k)
+    zero = lambda name: F.coalesce(F.max(name), F.lit(0)).alias(name)
+    return found.agg(zero("hashes_kept"), zero("distinct_estimate"))
 
 
 def approx_distinct_merge(raw: DataFrame, columns: Sequence[str] = ("user_id", "user_session")) -> DataFrame:
     """One sketch per file, merged over files: a distinct estimate per column that never revisits the rows."""
-    per_file = raw.groupBy("src").agg(*[_sketch(c).alias(c) for c in columns])
-    merged = per_file.agg(*[F.theta_sketch_estimate(F.theta_union_agg(c)).alias(c) for c in columns])
-    return merged.unpivot([], list(columns), "column_name", "distinct_estimate")
+    merged = kmv_estimate(kmv_merge(kmv_hashes(raw, columns)))
+    names = raw.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
+    return names.join(merged, "column_name", "left").select("column_name", F.coalesce("distinct_estimate", F.lit(0)).alias("distinct_estimate"))
 
 
 def audit_combined(raw: DataFrame, high: float = HIGH_PRICE) -> DataFrame:
     """Per-file records folded into one: counts add, extremes fold, sketches merge."""
-    time, price = _filled("event_time"), _price()
-    files = raw.groupBy("src").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.min(time).alias("first"),
-        F.max(time).alias("last"),
-        F.count_if(price == 0).alias("zero"),
-        F.count_if(price < 0).alias("negative"),
-        F.count_if(price > high).alias("high"),
-        _sketch("user_id").alias("users"),
-        _sketch("user_session").alias("sessions"),
-    )
-    return files.agg(
+    price = _price()
+    checks = {"zero_price": price == 0, "negative_price": price < 0, "high_price": price > high}
+    measures = [F.count(F.lit(1)).alias("row_count"), *[F.count_if(c).alias(name) for name, c in checks.items()]]
+    names = ["row_count", *checks]
+    files = materialise(_times(raw, PER_FILE, measures, [F.sum(x).alias(x) for x in names]), "file-records")
+    out = files.agg(
         F.count(F.lit(1)).alias("files"),
-        F.coalesce(F.sum("rows"), F.lit(0)).alias("row_count"),
-        F.min("first").alias("min_event_time"),
-        F.max("last").alias("max_event_time"),
-        F.coalesce(F.sum("zero"), F.lit(0)).alias("zero_price"),
-        F.coalesce(F.sum("negative"), F.lit(0)).alias("negative_price"),
-        F.coalesce(F.sum("high"), F.lit(0)).alias("high_price"),
-        F.theta_sketch_estimate(F.theta_union_agg("users")).alias("distinct_users"),
-        F.theta_sketch_estimate(F.theta_union_agg("sessions")).alias("distinct_sessions"),
+        *[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in names],
+        F.min("min_event_time").alias("min_event_time"),
+        F.max("max_event_time").alias("max_event_time"),
     )
+    merged = materialise(kmv_estimate(kmv_merge(kmv_hashes(raw, list(DISTINCT)))), "estimates")
+    for column, name in DISTINCT.items():
+        one = merged.where(F.col("column_name") == column).select("distinct_estimate").scalar()
+        out = out.withColumn(name, F.coalesce(one, F.lit(0)))
+    return out

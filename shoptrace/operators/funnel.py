@@ -46,16 +46,17 @@ def category_funnel(funnel: DataFrame) -> DataFrame:
 def revenue_mix(funnel: DataFrame, label: str) -> DataFrame:
     """Purchases, buyers, revenue and share of all revenue per label value (category or brand), Unknown included.
 
-    ``funnel`` should be a written table: the grand total is a scalar read of its revenue column.
+    The grand total is taken over the grouped rows, one per label.
     """
-    total = funnel.agg(F.sum(cents(_sold("revenue_proxy"))).alias("t")).scalar()
     revenue, sales = F.sum(cents("revenue_proxy")), F.count_if(F.col("reached_purchase") == 1)
     grouped = funnel.groupBy(label).agg(
         sales.alias("purchase_interactions"),
         F.count_distinct(_sold("user_id")).alias("buyers"),
         revenue.alias("_c"),
+        F.coalesce(F.sum(cents(_sold("revenue_proxy"))), F.lit(0)).alias("_s"),
         mean_money(F.sum(cents(_sold("revenue_proxy"))), sales).alias("avg_purchase_value"),
     )
+    total = F.sum("_s").over(Window.partitionBy())
     return grouped.select(
         label,
         "purchase_interactions",

@@ -173,13 +173,13 @@ def box_statistics(df: DataFrame, value: str, group: str, axis_q: float = 0.95)
         six_places(quantile(0.50, value)).alias("median"),
         six_places(quantile(0.75, value)).alias("q3"),
     )
-    all_groups = counts.groupBy(value).agg(F.sum("n").alias("n"))
+    all_groups = materialise(counts.groupBy(value).agg(F.sum("n").alias("n")), "all-counts")
     axis = with_cumulative(all_groups, value, ["n"]).agg(six_places(quantile(axis_q, value)).alias("q")).scalar()
     reach = (F.col("q3") - F.col("q1")) * 1.5
     v = F.col(value)
     whiskers = (
         counts.select(group, value)
-        .join(boxes, group)
+        .join(F.broadcast(boxes), group)  # one row per group, few by contract
         .groupBy(group, "n_rows", "q1", "median", "q3")
         .agg(
             F.min(F.when(v >= F.col("q1") - reach, v)).alias("whisker_low"),

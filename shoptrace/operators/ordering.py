@@ -4,8 +4,7 @@
 * ``with_cumulative`` runs sums over a table of distinct values in blocks whose number is bounded by the double format.
 * ``smallest_by_hash`` finds the k smallest hashes through a histogram of hash prefixes.
 
-Each operator counts its (written) input first. Up to ``ONE_TASK_ROWS`` narrow rows the plain window or top-k is used, since
-one task sorts them in about a second; beyond that the distributed form is. Both give the same rows.
+There is one path for every size, and sort keys keep their own types.
 """
 
 from __future__ import annotations
@@ -17,18 +16,12 @@ from pyspark.sql import functions as F
 
 from shoptrace.sources.tables import materialise
 
-ONE_TASK_ROWS = 1_000_000
-
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in its low 33 bits
 _BLOCKS_PER_DOUBLING = 64
 _HASH_HEX = 16
 _PREFIX_HEX = 4
 
 
-def _fits_one_task(df: DataFrame) -> bool:
-    return df.count() <= ONE_TASK_ROWS
-
-
 def global_positions(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     """Add ``position``, the 0-based place of a row in the total order.
 
@@ -53,31 +46,30 @@ def global_positions(df: DataFrame, order: Sequence[Column]) -> DataFrame:
 
 
 def first_rows(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
-    """The first k rows of the order, also for a k too large for a top-k in one task; the result then stays distributed."""
-    if _fits_one_task(df):
-        return df.orderBy(*order).limit(k)
-    return global_positions(df, order).where(F.col("position") < k).drop("position")
+    """The first k rows of the order, in that order, also for a k too large for a top-k in one task; the result stays distributed."""
+    return global_positions(df, order).where(F.col("position") < k).orderBy("position").drop("position")
 
 
 def with_ntiles(df: DataFrame, tiles: Mapping[str, Column], unique: str, k: int) -> DataFrame:
-    """Add one NTILE(k) column per entry of ``tiles`` (name -> numeric key, ascending; ties broken by ``unique``).
+    """Add one NTILE(k) column per entry of ``tiles`` (name -> key, ascending; ties broken by ``unique``).
 
     ``df`` should be a written table: it is read for the cut points and again for the result. All keys are ranked in one
     narrow range-partitioned pass; the k-1 cut rows per key then come back as one row, and the tile of a row follows from
     comparing it with the cuts. The table itself is never shuffled.
     """
     names = list(tiles)
-    if _fits_one_task(df):
-        plain = {name: F.ntile(k).over(Window.orderBy(key, unique)).cast("bigint") for name, key in tiles.items()}
-        return df.select("*", *[column.alias(name) for name, column in plain.items()])
     entries = F.array(
         *[
-            F.struct(F.lit(i).alias("kind"), tiles[name].cast("double").alias("key"), F.col(unique).alias("id"))
+            F.struct(
+                F.lit(i).alias("kind"),
+                *[(tiles[n] if n == name else F.nullif(tiles[n], tiles[n])).alias(f"key_{n}") for n in names],
+                F.col(unique).alias("id"),
+            )
             for i, name in enumerate(names)
         ]
     )
-    narrow = df.select(F.explode(entries).alias("e")).select("e.kind", "e.key", "e.id")
-    ranked = global_positions(narrow, [F.col("kind"), F.col("key"), F.col("id")])
+    narrow = df.select(F.explode(entries).alias("e")).select("e.*")
+    ranked = global_positions(narrow, [F.col("kind"), *[F.col(f"key_{n}") for n in names], F.col("id")])
 
     rows = df.agg(F.count(F.lit(1)).alias("rows")).scalar()
     placed = ranked.withColumn("n", rows).withColumn("place", F.col("position") - F.col("kind") * F.col("n"))
@@ -88,14 +80,14 @@ def with_ntiles(df: DataFrame, tiles: Mapping[str, Column], unique: str, k: int)
     cut_rows = placed.where(last_row).agg(
         F.struct(
             *[
-                F.collect_list(F.when(F.col("kind") == kind, F.struct("key", "id"))).alias(name)
+                F.collect_list(F.when(F.col("kind") == kind, F.struct(F.col(f"key_{name}").alias("key"), "id"))).alias(name)
                 for kind, name in enumerate(names)
             ]
         ).alias("cuts")
     )
     out = df.withColumn("_cuts", cut_rows.scalar())
     for name in names:
-        here = F.struct(tiles[name].cast("double").alias("key"), F.col(unique).alias("id"))
+        here = F.struct(tiles[name].alias("key"), F.col(unique).alias("id"))
         out = out.withColumn(name, (_cuts_below(F.col(f"_cuts.{name}"), here) + 1).cast("bigint"))
     return out.drop("_cuts")
 
@@ -124,13 +116,6 @@ def with_cumulative(counts: DataFrame, value: str, weights: Sequence[str], by: S
     ``counts`` has one row per (by, value) and should be a written table, as it is read twice. Sums run inside blocks; the
     only windows over a whole group see one row per block.
     """
-    if _fits_one_task(counts):
-        below = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        return counts.select(
-            "*",
-            *[F.coalesce(F.sum(w).over(below), F.lit(0)).alias(f"{w}_before") for w in weights],
-            *[F.sum(w).over(Window.partitionBy(*by)).alias(f"{w}_total") for w in weights],
-        )
     blocked = counts.withColumn("_block", value_block(value))
     per_block = blocked.groupBy(*by, "_block").agg(*[F.sum(w).alias(w) for w in weights])
     group = Window.partitionBy(*by)
@@ -201,8 +186,6 @@ def smallest_by_hash(hashed: DataFrame, k: int, hash_column: str = "h") -> DataF
     ``hashed`` should be a written table, one row per hash. Prefix counts (at most 65,536 rows) give the prefix that reaches
     k; only rows up to it, about k of them, are then sorted.
     """
-    if _fits_one_task(hashed):
-        return hashed.orderBy(hash_column).limit(k)
     prefix = F.substring(hash_column, 1, _PREFIX_HEX)
     sizes = hashed.groupBy(prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
     reached = sizes.select("prefix", F.sum("n").over(Window.orderBy("prefix")).alias("upto"))

@@ -102,26 +102,38 @@ def funnel(events: DataFrame, keys: Sequence[str], stages: Sequence[str] = STAGE
 
 
 def session_product_facts(events: DataFrame) -> DataFrame:
-    """One row per (session, product) with what both the funnel and the cart table need: the log is shuffled once for both.
+    """One row per (session, product) with what both the funnel and the cart table need: the log is read once for both.
 
     ``events`` comes from ``funnel_events`` without the time condition. Columns named ``timed_*`` and ``first_month`` see only
-    events with a time. Unread columns are pruned from the aggregate.
+    events with a time. Labels are grouping keys at first, so the log is folded by hashing; the least labels are then taken over
+    the merged rows, one for most pairs.
     """
     timed = F.col("event_ts").isNotNull()
     paid = (F.col("event_type") == "purchase") & (F.col("price") > 0)
-    return events.groupBy("user_session", "product_id").agg(
-        F.min("category_code").alias("category_code"),
-        F.min("brand").alias("brand"),
+    labelled = events.groupBy("user_session", "product_id", "category_code", "brand").agg(
         F.min("user_id").alias("user_id"),
         F.max(stage_reached()).alias("depth"),
         F.coalesce(F.sum(F.when(paid, cents("price"))), F.lit(0)).alias("revenue_cents"),
-        F.min(F.when(timed, F.col("category_code"))).alias("timed_category_code"),
-        F.min(F.when(timed, F.col("brand"))).alias("timed_brand"),
         F.min("event_month").alias("first_month"),
+        F.max(F.when(timed, 1).otherwise(0)).alias("timed"),
         F.max(F.when(timed & (F.col("event_type") == "cart"), 1).otherwise(0)).alias("timed_cart"),
         F.max(F.when(timed & paid, 1).otherwise(0)).alias("timed_purchase"),
         F.max(F.when(timed & (F.col("price") > 0), F.col("price"))).alias("timed_price"),
     )
+    at_all = F.col("timed") == 1
+    return labelled.groupBy("user_session", "product_id").agg(
+        F.min("category_code").alias("category_code"),
+        F.min("brand").alias("brand"),
+        F.min("user_id").alias("user_id"),
+        F.max("depth").alias("depth"),
+        F.sum("revenue_cents").alias("revenue_cents"),
+        F.min(F.when(at_all, F.col("category_code"))).alias("timed_category_code"),
+        F.min(F.when(at_all, F.col("brand"))).alias("timed_brand"),
+        F.min("first_month").alias("first_month"),
+        F.max("timed_cart").alias("timed_cart"),
+        F.max("timed_purchase").alias("timed_purchase"),
+        F.max("timed_price").alias("timed_price"),
+    )
 
 
 def funnel_from_facts(facts: DataFrame) -> DataFrame:

@@ -2,31 +2,24 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoptrace.operators.ordering import hash_text, smallest_by_hash
 from shoptrace.sources.tables import materialise
 
 
-def sample_n(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
+def sample_n(df: DataFrame, n: int, seed: int = 0, spelled: Column | None = None) -> DataFrame:
     """Exactly n rows drawn without replacement, each row (copies counted singly) equally likely; all rows when fewer.
 
-    Filter first, then sample. Rows pass a coin whose expected yield lies six deviations above n; the survivors, about n, are
-    written, which fixes the draw, and cut to n. In the one case in a billion of too few survivors the draw is repeated.
+    Filter first, then sample. A row is drawn by the hash of seed, row and copy number, so the same rows come out for any layout
+    of the data. ``spelled`` is the row as text (JSON unless given).
     """
-    total = df.count()
-    if total <= n:
-        return df
-    yield_goal = n + 6.0 * math.sqrt(n) + 36.0
-    while True:
-        share = min(1.0, yield_goal / total)
-        drawn = materialise(df.withColumn("_u", F.rand(seed)).where(F.col("_u") < share), "sample")
-        if share >= 1.0 or drawn.count() >= n:
-            return drawn.orderBy("_u").limit(n).drop("_u")
-        yield_goal *= 2
+    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    row = F.to_json(F.struct(*df.columns)) if spelled is None else spelled
+    each = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    hashed = each.withColumn("h", hash_text(F.concat_ws(":", F.lit(str(seed)), "_copy", row))).drop("_copies", "_copy")
+    return smallest_by_hash(materialise(hashed, "hashed"), n).drop("h")
 
 
 def sample_by_key(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:

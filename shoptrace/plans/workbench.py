@@ -31,7 +31,6 @@ class Settings:
     months: tuple[str, str] = ("2019-10-01", "2019-11-01")
     horizons: tuple[int, ...] = (7, 30)
     days_limit: int = 60
-    heatmap_months: tuple[int, ...] = (0, 1)
     sample_sessions: int = 200_000
     focus_customers: int = 60_000
 
@@ -155,7 +154,7 @@ class Workbench:
             "conversion_comparison": hypothesis.conversion_comparison(self.funnel, s.focus),
             "price_box_by_month": hypothesis.price_box_by_month(self.purchases),
             "price_box_by_brand": hypothesis.price_box_by_brand(self.purchases, s.box_brands),
-            "cohort_heatmap": retention.cohort_heatmap(self.retention, s.heatmap_months),
+            "cohort_heatmap": retention.cohort_heatmap(self.retention),
             "days_to_second_hist": retention.days_to_second_hist(self.journey, limit=s.days_limit),
             "cart_top_categories": cart.cart_top_categories(cart.cart_by_category(self.cart_pairs), s.min_pairs),
         }

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+QUOTE = '"'
+
 # The columns of an event log.
 EVENT_COLUMNS = (
     "event_time",
@@ -26,13 +28,14 @@ def read_events(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Header CSV logs, one path (file, folder or glob) per delivery, matched by column name, duplicates kept.
 
     Every column is text: types are fixed later by the cleaning step, so nothing drifts between deliveries and no pass over
-    the data is spent on inference. ``src`` is the file a row came from. Within one path the headers must agree; Spark
+    the data is spent on inference. ``src`` is the full path of the
+    file a row came from. Quoted fields follow the CSV standard: a quote inside is doubled. Within one path the headers must agree; Spark
     checks that and raises.
     """
     if not paths:
         raise ValueError("read_events needs at least one path")
-    reader = spark.read.option("header", True).option("enforceSchema", False)
-    logs = [reader.csv(p).withColumn("src", F.col("_metadata.file_name")) for p in paths]
+    reader = spark.read.option("header", True).option("enforceSchema", False).option("escape", QUOTE)
+    logs = [reader.csv(p).withColumn("src", F.col("_metadata.file_path")) for p in paths]
     merged = union_logs(logs)
     for name in EVENT_COLUMNS:
         if not has_column(merged, name):
@@ -64,6 +67,7 @@ def write_result(df: DataFrame, path: str, fmt: str = "csv") -> None:
     if fmt == "csv":
         (
             writer.option("header", True)
+            .option("escape", QUOTE)
             .option("ignoreLeadingWhiteSpace", False)
             .option("ignoreTrailingWhiteSpace", False)
             .csv(path)

@@ -8,7 +8,6 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from checks.compare import local_session  # noqa: E402
-from shoptrace.operators import ordering  # noqa: E402
 
 RAW = (
     "event_time string, event_type string, product_id string, category_id string, category_code string, brand string, "
@@ -34,16 +33,3 @@ def make_raw(spark):
         return spark.createDataFrame(full, RAW)
 
     return build
-
-
-@pytest.fixture(params=["one task", "distributed"])
-def both_paths(request, monkeypatch):
-    """Run a test on the size-checked short path and on the distributed path."""
-    if request.param == "distributed":
-        monkeypatch.setattr(ordering, "ONE_TASK_ROWS", -1)
-    return request.param
-
-
-@pytest.fixture
-def distributed(monkeypatch):
-    monkeypatch.setattr(ordering, "ONE_TASK_ROWS", -1)

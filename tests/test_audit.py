@@ -64,7 +64,7 @@ def test_top_prices(make_raw):
     assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
 
 
-def test_kmv_is_exact_below_k_and_close_above(spark, both_paths):
+def test_kmv_is_exact_below_k_and_close_above(spark):
     users = spark.range(20_000).select((F.col("id") % 5000).cast("string").alias("user_id"))
     assert audit.kmv_distinct(users, "user_id", 5001).first()["distinct_estimate"] == 5000
     estimate = audit.kmv_distinct(users, "user_id", 256).first()

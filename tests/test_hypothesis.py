@@ -22,7 +22,7 @@ def brute_force(a, b):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_mann_whitney_matches_pairwise_count(spark, both_paths, seed):
+def test_mann_whitney_matches_pairwise_count(spark, seed):
     rng = random.Random(seed)
     draw = (lambda: rng.choice([5.0, 5.0, 7.5])) if seed % 2 else (lambda: round(rng.uniform(1, 300), 2))
     a, b = [draw() for _ in range(70)], [draw() + seed for _ in range(50)]
@@ -35,7 +35,7 @@ def test_mann_whitney_matches_pairwise_count(spark, both_paths, seed):
     assert row["statistic"] + other["statistic"] == 70 * 50
 
 
-def test_degenerate_groups(spark, both_paths):
+def test_degenerate_groups(spark):
     equal = spark.createDataFrame([("a", 2.0)] * 5 + [("b", 2.0)] * 4, "g string, v double")
     row = hypothesis.mann_whitney(equal, "v", "g", "a", "b").first()
     assert row["statistic"] == 10.0 and row["z"] is None and row["p_value"] is None and row["uplift_pct"] == 0.0
@@ -73,7 +73,7 @@ def test_proportions_without_trials(spark):
     assert row["statistic"] is None and row["conversion_a_pct"] is None
 
 
-def test_boxes(spark, both_paths):
+def test_boxes(spark):
     values = [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0, 100.0]
     rows = spark.createDataFrame([("x", v) for v in values] + [("y", 5.0)], "g string, v double")
     x, y = hypothesis.box_statistics(rows, "v", "g").orderBy("g").collect()

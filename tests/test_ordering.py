@@ -33,7 +33,7 @@ def plain_ntile(values, k):
 
 
 @pytest.mark.parametrize("n", [0, 1, 3, 5, 7, 10, 1498, 6003])
-def test_ntiles(spark, both_paths, n):
+def test_ntiles(spark, n):
     rng = random.Random(n)
     rows = [(i * 7 % 100003, rng.choice([1, 1, 1, 2, 3]), round(rng.uniform(-5, 50), 2)) for i in range(n)]
     users = materialise(spark.createDataFrame(rows, "user bigint, often int, spend double").repartition(5))
@@ -60,7 +60,7 @@ def test_positions_do_not_meet_in_one_task(spark):
     assert len(spread) == 4 and max(r["count"] for r in spread) < 20_000
 
 
-def test_first_rows(spark, both_paths):
+def test_first_rows(spark):
     rows = spark.createDataFrame([(i, i % 7) for i in range(500)], "user int, spend int")
     got = {(r["spend"], r["user"]) for r in first_rows(rows, [F.desc("spend"), F.asc("user")], 123).collect()}
     expected = sorted(((i % 7, i) for i in range(500)), key=lambda r: (-r[0], r[1]))[:123]
@@ -68,7 +68,7 @@ def test_first_rows(spark, both_paths):
 
 
 @pytest.mark.parametrize("n", [1, 2, 9, 1000])
-def test_quantiles_match_linear_interpolation(spark, both_paths, n):
+def test_quantiles_match_linear_interpolation(spark, n):
     rng = random.Random(n)
     values = [round(rng.choice([5.0, 5.0, rng.uniform(-20, 2000)]), 2) for _ in range(n)]
     counts = materialise(value_counts(spark.createDataFrame([(v,) for v in values], "v double"), "v"))
@@ -77,7 +77,7 @@ def test_quantiles_match_linear_interpolation(spark, both_paths, n):
     assert list(row) == pytest.approx(list(np.quantile(values, qs)), rel=1e-12, abs=1e-12)
 
 
-def test_cumulative_by_group(spark, both_paths):
+def test_cumulative_by_group(spark):
     rows = [("a", 1.0), ("a", 2.0), ("a", 2.0), ("b", -3.0), ("b", 0.0), ("b", 900.5), ("b", 900.5)]
     counts = materialise(value_counts(spark.createDataFrame(rows, "g string, v double"), "v", ["g"]))
     got = {(r["g"], r["v"]): (r["n_before"], r["n_total"]) for r in with_cumulative(counts, "v", ["n"], ["g"]).collect()}
@@ -104,13 +104,13 @@ def test_histogram_matches_numpy(spark, values):
 
 
 @pytest.mark.parametrize("k", [1, 50, 5000])
-def test_smallest_by_hash(spark, both_paths, k):
+def test_smallest_by_hash(spark, k):
     hashed = materialise(spark.range(1000).select(hash_text(F.col("id")).alias("h")))
     everything = sorted(r["h"] for r in hashed.collect())
     assert sorted(r["h"] for r in smallest_by_hash(hashed, k).collect()) == everything[:k]
 
 
-def test_sample_by_key_does_not_depend_on_layout(spark, both_paths):
+def test_sample_by_key_does_not_depend_on_layout(spark):
     rows = spark.range(3000).select(F.col("id").cast("string").alias("s"))
     one = {r["s"] for r in sample_by_key(rows.repartition(1), "s", 100, seed=3).collect()}
     other = {r["s"] for r in sample_by_key(rows.repartition(7), "s", 100, seed=3).collect()}
@@ -130,3 +130,18 @@ def test_sample_n_is_exact_and_keeps_copies_in_proportion(spark):
 
 def test_sample_n_of_fewer_rows_is_everything(spark):
     assert sample_n(spark.range(10), 20).count() == 10
+
+
+def test_ntiles_keep_whole_number_keys_apart(spark):
+    """Doubles cannot tell these keys apart."""
+    keys = [2**53 + i for i in range(10)]
+    df = materialise(spark.createDataFrame([(10 - i, k) for i, k in enumerate(keys)], "id long, k long"))
+    found = {r.k: r.t for r in with_ntiles(df, {"t": F.col("k"), "back": -F.col("k")}, "id", 5).collect()}
+    assert [found[k] for k in keys] == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5]
+
+
+def test_sample_does_not_depend_on_layout(spark):
+    rows = [(i % 7, float(i % 5)) for i in range(400)]
+    df = spark.createDataFrame(rows, "a int, b double")
+    first, second = (sorted(map(tuple, sample_n(d, 60, 3).collect())) for d in (df.repartition(1), df.repartition(6, "b")))
+    assert first == second and len(first) == 60

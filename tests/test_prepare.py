@@ -5,7 +5,10 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
+from shoptrace.functions.rules import cents
 from shoptrace.operators import cart, funnel, prepare
+from shoptrace.operators.prepare import clean_events, funnel_events, session_product_funnel
+from shoptrace.sources.events import read_events
 
 T1, T2, NOV = "2019-10-01 10:00:00 UTC", "2019-10-02 10:00:00 UTC", "2019-11-03 00:00:00 UTC"
 
@@ -184,3 +187,27 @@ def test_stored_log_is_pruned_to_purchases(spark, make_raw, tmp_path):
     assert "GreaterThan(price,0.0)" in plan.split("PushedFilters: [")[1]
     assert "brand" not in plan.split("ReadSchema")[1]
     assert [r["price"] for r in buys.collect()] == [5.0]
+
+
+def test_quoted_fields_and_equal_file_names(spark, tmp_path):
+    text = 'event_time,event_type,product_id,category_id,category_code,brand,price,user_id,user_session\n'
+    for folder, brand in (("oct", '"a ""b"", c"'), ("nov", "plain")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "part-0.csv").write_text(text + f"2019-10-01 00:00:00,view,1,1,x.y,{brand},1.50,7,s\n")
+    rows = read_events(spark, [str(tmp_path / "oct"), str(tmp_path / "nov")]).select("brand", "src").collect()
+    assert sorted(r.brand for r in rows) == ['a "b", c', "plain"]
+    assert len({r.src for r in rows}) == 2
+
+
+def test_a_fraction_of_a_cent_is_refused(spark):
+    df = spark.createDataFrame([(2.345,)], "price double")
+    with pytest.raises(Exception, match="fraction of a cent"):
+        df.select(cents("price")).collect()
+    assert spark.createDataFrame([(2.34,), (None,)], "price double").select(cents("price").alias("c")).collect()[0].c == 234
+
+
+def test_the_log_is_folded_by_hashing(spark, make_raw):
+    events = funnel_events(clean_events(make_raw([])))
+    plan = session_product_funnel(events)._jdf.queryExecution().executedPlan().toString()
+    lowest = plan[plan.rindex("Aggregate") - 12 :]
+    assert lowest.lstrip("( ").split("Aggregate")[0].endswith("Hash")

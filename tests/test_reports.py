@@ -34,8 +34,9 @@ def shop(make_raw, n=900, users=60, seed=1, hot=False):
 SMALL = Settings(min_views=1, min_pairs=1, horizons=(3, 20), sample_sessions=50, focus_customers=20)
 
 
-def test_workbench_and_invariants(make_raw, both_paths):
-    bench = Workbench(shop(make_raw, hot=both_paths == "distributed"), settings=SMALL)
+@pytest.mark.parametrize("hot", [False, True])
+def test_workbench_and_invariants(make_raw, hot):
+    bench = Workbench(shop(make_raw, hot=hot), settings=SMALL)
     results = {name: df.toPandas() for name, df in {**bench.results(), **bench.headline()}.items()}
     assert len(results) == 24 + 7
 
@@ -97,7 +98,7 @@ def test_workbench_from_a_stored_log(make_raw):
         Workbench()
 
 
-def test_every_report_accepts_an_empty_log(make_raw, distributed):
+def test_every_report_accepts_an_empty_log(make_raw):
     raw = shop(make_raw, 5).where(F.lit(False))
     bench = Workbench(raw, settings=SMALL)
     for tables in (bench.results(), bench.chart_data(), bench.headline(), bench.audit()):
@@ -168,7 +169,7 @@ def test_cohort_cell_and_heatmap(spark):
     )
     assert retention.cohort_month(table, "2019-10-01").first()["retention_pct"] == 26.3
     assert retention.cohort_month(table, "2019-11-01").first()["retention_pct"] == 0.0
-    heat = [tuple(r) for r in retention.cohort_heatmap(table, [0, 1]).collect()]
+    heat = [tuple(r) for r in retention.cohort_heatmap(table).collect()]
     assert heat == [(date(2019, 10, 1), 100.0, 26.3), (date(2019, 11, 1), 100.0, 0.0)]
 
 
