@@ -72,7 +72,7 @@ def natural_weights(counts: Mapping[str | None, int], temperature: float = TEMPE
 def scheduled(
     docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_documents: int = BLOCK_DOCUMENTS
 ) -> DataFrame:
-    """``docs`` with ``_block`` (within its source), ``_place`` (within the block), ``_slot`` and ``_share`` of each row.
+    """``docs(doc_id, source, text_hash, ..)`` with ``_block`` (within its source), ``_place`` (within the block), ``_slot`` and ``_share`` of each row.
 
     Without ``weights`` they come from the source sizes; with them every source present must have one.
     """
@@ -90,7 +90,7 @@ def scheduled(
     sizes = keyed.groupBy(F.col("source").alias("_source"), F.col("_bucket").alias("_in")).agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_source").orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_source", "_in", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    order = Window.partitionBy("source", "_bucket").orderBy("_hash", "doc_id", F.xxhash64("text"))
+    order = Window.partitionBy("source", "_bucket").orderBy("_hash", "doc_id", "text_hash")
     ranked = keyed.withColumn("_row", F.row_number().over(order))
     ranked = ranked.join(offsets, F.expr("source <=> _source AND _bucket = _in"))
     rank = F.col("_offset") + F.col("_row") - 1
@@ -106,7 +106,7 @@ def scheduled(
 
 def schedule(docs: DataFrame, **options) -> DataFrame:
     """One row per document: ``doc_id, source, block, place, slot, share`` (slots of the source in a period)."""
-    narrow = docs.select("doc_id", "source", "text")
+    narrow = docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"))
     return scheduled(narrow, **options).select(
         "doc_id", "source", *(F.col(f"_{c}").alias(c) for c in ("block", "place", "slot")), F.col("_share").alias("share")
     )
@@ -114,6 +114,8 @@ def schedule(docs: DataFrame, **options) -> DataFrame:
 
 def interleave(docs: DataFrame, **options) -> DataFrame:
     """All rows of ``docs`` in mixed order: the parts of the result, read one after the other, follow the slots."""
-    placed = scheduled(docs, **options)
+    # the rows travel as one struct, so none of their columns can clash with those of the work
+    rows = docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), F.struct("*").alias("_doc"))
+    placed = scheduled(rows, **options)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return placed.repartitionByRange(parts, "_slot").sortWithinPartitions("_slot", "_place").select(docs.columns)
+    return placed.repartitionByRange(parts, "_slot").sortWithinPartitions("_slot", "_place").select("_doc.*")

@@ -216,9 +216,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """``docs``, all columns, with one document of each group. Repeats of a kept row go too; rows without a doc_id stay."""
     verdict = materialise(near_duplicates(docs), "near_duplicates").filter("doc_id IS NOT NULL")
     dropped = verdict.filter(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
-    left = docs.join(dropped, docs["doc_id"] == F.col("_id"), "left_anti")
+    left = docs.join(dropped, docs["doc_id"] == dropped["_id"], "left_anti")
     repeated = verdict.filter("kept").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_id"))
     if repeated.limit(1).count() == 0:
         return left
-    single = left.join(repeated, left["doc_id"] == F.col("_id"), "left_anti")
-    return single.unionByName(left.join(repeated, left["doc_id"] == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "text"]))
+    single = left.join(repeated, left["doc_id"] == repeated["_id"], "left_anti")
+    return single.unionByName(left.join(repeated, left["doc_id"] == repeated["_id"], "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -209,9 +209,13 @@ def masked(text: Column, spans: Column) -> Column:
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with every span masked in ``text`` and ``n_chars`` brought up to date; other columns stay."""
     found = materialise(term_spans(docs), "term_spans")
-    both = _joined_terms(docs.withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit("")))), found)
-    clean = both.withColumn("text", masked(F.col("text"), F.concat(base_spans(F.col("text")), "_terms")))
-    if "n_chars" in docs.columns:
-        length = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text"))
-        clean = clean.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
-    return clean.select(docs.columns)
+    # the rows travel as one struct, so none of their columns can clash with those of the work
+    hashed = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), hashed.alias("_text_hash"), F.struct("*").alias("_doc"))
+    text = F.col("_doc.text")
+    clean = _joined_terms(rows, found).select("_doc", masked(text, F.concat(base_spans(text), "_terms")).alias("_clean"))
+    columns = {c: F.col("_doc").getField(c) for c in docs.columns} | {"text": F.col("_clean")}
+    if "n_chars" in columns:
+        length = F.when(F.col("_clean").isNull(), columns["n_chars"]).otherwise(F.length("_clean"))
+        columns["n_chars"] = length.cast(docs.schema["n_chars"].dataType)
+    return clean.select(*(value.alias(c) for c, value in columns.items()))

@@ -325,4 +325,4 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns; rows of one doc_id and text are judged alike."""
     verdict = judge(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text", "lang"))
     rejected = verdict.filter(~F.col("kept")).select(F.col("doc_id").alias("_key")).distinct()
-    return docs.join(rejected, F.xxhash64(docs["doc_id"], docs["text"]) == F.col("_key"), "left_anti")
+    return docs.join(rejected, F.xxhash64(docs["doc_id"], docs["text"]) == rejected["_key"], "left_anti")

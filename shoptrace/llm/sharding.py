@@ -79,7 +79,7 @@ def assign(docs: DataFrame, limit_bytes: int = LIMIT_BYTES) -> DataFrame:
 def write_shards(docs: DataFrame, path: str, limit_bytes: int = LIMIT_BYTES) -> None:
     """Write ``docs``, all columns, as one folder per shard."""
     shards = assign(docs, limit_bytes).select(F.col("doc_id").alias("_id"), "shard").distinct()
-    placed = docs.join(shards, docs["doc_id"].eqNullSafe(F.col("_id"))).drop("_id")
+    placed = docs.join(shards, docs["doc_id"].eqNullSafe(shards["_id"])).drop(shards["_id"])
     placed.repartition("shard").write.partitionBy("shard").parquet(path)
 
 
