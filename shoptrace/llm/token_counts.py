@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoptrace.llm.quality_rules import BYTE_PATTERN, vocabulary_folder
+from shoptrace.sources.tables import materialise
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 BLOCK_LENGTHS = 512
@@ -56,7 +57,7 @@ def length_histogram(docs: DataFrame, **vocabulary) -> DataFrame:
     ``docs_at_least``, ``tokens_at_least``; ``docs_below``; ``tokens_cut``: all tokens if documents are cut at this length.
     """
     counted = encoded_lengths(docs, **vocabulary).groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
-    return suffix_sums(counted)
+    return suffix_sums(materialise(counted, "lengths"))  # read at several places; texts are encoded once
 
 
 def suffix_sums(counted: DataFrame) -> DataFrame:
