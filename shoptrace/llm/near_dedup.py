@@ -3,7 +3,8 @@
 One hash of each five-word shingle fills all bins of a signature: its leading bits choose the bin, the least value stays.
 Empty bins borrow from a bin that a universal hash of (bin, attempt) chooses, the same for every document (optimal
 densification). Bands of bins key buckets. Candidate pairs are stars: in each bucket one centre meets the other members,
-never all pairs. Each pair is confirmed on the full shingle sets. A bucket whose members still lie in different components
+never all pairs, and a pair is met only in the least bucket that holds both of its nodes, so once in all rounds. Each pair is
+confirmed on the full shingle sets. A bucket whose members still lie in different components
 after a round gives up its centres and goes into the next round with new ones, so no link that a bucket shows is lost. Most
 buckets end after one round because their members are connected, or because a member has too many shingles of its own to be
 linked with anything; this bound is exact and keeps large families of loosely similar texts from being compared pair by pair.
@@ -113,18 +114,21 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def star_pairs(buckets: DataFrame, centres: DataFrame) -> DataFrame:
-    """Distinct (a, b): each centre of a bucket with every later member of another component that could be linked.
+    """Pairs (a, b): each centre of a bucket with every later member of another component that could be linked.
 
     ``able`` counts a node's shingles that any other candidate has at all; no pair shares more than the lesser of two such
-    counts, which bounds its similarity.
+    counts, which bounds its similarity. ``mine`` holds all buckets of a node (``BANDS`` at most): only the least common one
+    gives the pair. A bucket leaves the rounds only when its members are connected or cannot be linked, so the pair's turn
+    in that bucket comes unless it is not needed.
     """
-    c = centres.select("bucket", *(F.col(x).alias(f"{x}_a") for x in ("node", "n_shingles", "able", "component")))
+    c = centres.select("bucket", *(F.col(x).alias(f"{x}_a") for x in ("node", "n_shingles", "able", "component", "mine")))
     m = buckets.alias("m")
     shared = F.least("m.able", "able_a")
     possible = 100 * shared >= SIMILAR_PERCENT * (F.col("m.n_shingles") + F.col("n_shingles_a") - shared)
     apart = (F.col("node_a") < F.col("m.node")) & (F.col("component_a") != F.col("m.component"))
-    pairs = m.join(c.alias("c"), (F.col("m.bucket") == F.col("c.bucket")) & apart & possible)
-    return pairs.select(F.col("node_a").alias("a"), F.col("m.node").alias("b")).distinct()
+    least = F.col("m.bucket") == F.array_min(F.array_intersect("m.mine", "mine_a"))
+    pairs = m.join(c.alias("c"), (F.col("m.bucket") == F.col("c.bucket")) & apart & possible & least)
+    return pairs.select(F.col("node_a").alias("a"), F.col("m.node").alias("b"))
 
 
 def unresolved(buckets: DataFrame) -> DataFrame:
@@ -154,24 +158,20 @@ def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     members = nodes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
     shared = materialise(shared.select("bucket"), "shared")  # written, so that the join below can split hot buckets
-    buckets = members.join(shared, "bucket").distinct()
-    columns = ["bucket", "node", "n_shingles", "able", "component"]
-    buckets = buckets.withColumn("able", F.col("n_shingles")).withColumn("component", F.col("node")).select(columns)
-    buckets = materialise(buckets, "buckets")
+    held = members.join(shared, "bucket").groupBy("node", "n_shingles").agg(F.collect_set("bucket").alias("mine"))
+    columns = ["bucket", "node", "n_shingles", "able", "component", "mine"]
+    buckets = held.withColumn("able", F.col("n_shingles")).withColumn("component", F.col("node"))
+    buckets = materialise(buckets.withColumn("bucket", F.explode("mine")).select(columns), "buckets")
     involved = buckets.select("node").distinct()
     schema = "node long, shingles array<long>"
     sets = materialise(texts.join(involved, "node", "left_semi").mapInArrow(_shingle_sets, schema), "shingle_sets")
-    tested = found = labels = None
+    found = labels = None
     width = 1
     while True:
         order = Window.partitionBy("bucket").orderBy("node")
         centres = buckets.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= width).drop("_place")
-        pairs = star_pairs(buckets, centres)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "star_pairs")
+        pairs = materialise(star_pairs(buckets, centres), "star_pairs")
         new = materialise(confirmed(pairs, sets).select("a", "b"), "links")
-        tested = pairs if tested is None else tested.union(pairs)
         if labels is None or new.limit(1).count():
             found = new if found is None else found.union(new)
             labels = components(found)
