@@ -143,17 +143,18 @@ def linkable(buckets: DataFrame, sets: DataFrame) -> DataFrame:
     A shingle that only one of these nodes has can be in no intersection.
     """
     inside = sets.join(buckets.select("node").distinct(), "node")
-    each = inside.select("node", F.explode("shingles").alias("shingle"))
+    each = inside.select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
     common = each.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1").select("shingle")
-    able = each.join(common, "shingle").groupBy("node").agg(F.count("*").alias("able"))
-    counted = buckets.drop("able").join(able, "node")
-    return counted.filter(100 * F.col("able") >= SIMILAR_PERCENT * F.col("n_shingles"))
+    able = each.join(common, "shingle").groupBy("node", "size").agg(F.count("*").alias("able"))
+    enough = able.filter(100 * F.col("able") >= SIMILAR_PERCENT * F.col("size")).select("node", "able")
+    return buckets.drop("able").join(materialise(enough, "able"), "node")
 
 
 def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Components (node, component) under confirmed links; ``nodes(node, n_shingles, bands)``, ``texts(node, text)``.
 
-    A round takes the least nodes of each unresolved bucket as centres: one at first, then four times as many as before.
+    A round takes the least nodes of each unresolved bucket as centres: one at first, then sixteen times as many as before. Tables
+    that ``unresolved`` reads twice are written first, so that each round computes them once.
     """
     members = nodes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
@@ -177,9 +178,11 @@ def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
             labels = components(found)
         rest = buckets.drop("component").join(centres.select("bucket", "node"), ["bucket", "node"], "left_anti")
         rest = rest.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        rest = materialise(unresolved(rest.select(columns)).select(columns), "buckets")
-        buckets = materialise(unresolved(linkable(rest, sets).select(columns)).select(columns), "buckets")
-        width *= 4
+        rest = materialise(rest.select(columns), "rest")
+        rest = materialise(unresolved(rest).select(columns), "unresolved")
+        rest = materialise(linkable(rest, sets).select(columns), "linkable")
+        buckets = materialise(unresolved(rest).select(columns), "buckets")
+        width *= 16
         if buckets.limit(1).count() == 0:
             return labels
 
