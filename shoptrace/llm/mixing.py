@@ -1,11 +1,16 @@
 """Mix sources to target weights by Pfair scheduling.
 
-Documents of a source form blocks. With weight w, block j of a source is released at slot floor(j / w) and due before slot
-ceil((j + 1) / w). One block goes out per slot; among the released blocks the one with the earliest deadline goes first. The
-weights are whole shares of a period of slots, so the schedule of one period, a table of as many rows as the period has slots,
-is the schedule of all: the same pattern repeats. It is computed once from the weights and joined to the blocks. At any slot each
-source has sent less than one block more or less than its weight asks, until a source has no blocks left; its slots are then
-skipped and the others go on in proportion to their weights.
+Documents of a source form blocks. A slot takes one block. While all sources have blocks left, source s with weight w (of a sum of
+one) is due w blocks a slot; when one has run out, the others share its slots in proportion to their weights. That is a fluid
+schedule whose rates always add up to one. Block j is released at the slot in which the fluid schedule begins it and due before
+the slot in which it ends it (floor(j / w) and ceil((j + 1) / w) until a source has run out). Among the released blocks the one
+with the earliest deadline goes first. No deadline is missed, so at any slot each source has sent less than one block more or
+less than the fluid schedule, that is, than its exact weight asks while all have blocks. There is no period and no least share.
+
+Slots are given in segments, one task each. The order at a slot depends only on blocks pending there, and a run that begins
+earlier with any pending blocks of the right number meets the true one as soon as all blocks pending at its beginning are due:
+for any deadline from then on, equally many earlier ones are pending. So each segment begins that much earlier and drops
+the slots before its own. The rarest source sets this lead; where leads would cost more than the slots themselves, segments get longer.
 
 No source is sorted in one task: documents are ranked within hash buckets of bounded size, and bucket counts give offsets.
 
@@ -17,12 +22,20 @@ source is by a hash of doc_id, then doc_id, then a hash of the text. A table wit
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Slots of one period, and the most sources that can share it; more sources have to be grouped first.
+from shoptrace.sources.tables import materialise
+
+#: Slots that one task gives, if the lead of the rarest source allows it, and slots whose blocks it holds at a time.
+SEGMENT_SLOTS = 50_000
+STEP_SLOTS = 1 << 16
+#: Slots and most sources of the fixed patterns of ``shares`` and ``period_pattern``, which ``scheduled`` does not use.
 PERIOD = 1024
 MAX_SOURCES = 512
 BLOCK_DOCUMENTS = 32
@@ -32,7 +45,7 @@ TEMPERATURE = 0.5
 
 
 def shares(weights: Mapping[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
-    """Whole slots per period, at least one each, by largest remainders."""
+    """For a caller who wants a fixed pattern: whole slots per period, at least one each, by largest remainders."""
     if len(weights) > MAX_SOURCES:
         raise ValueError(f"{len(weights)} sources; group them to at most {MAX_SOURCES}")
     if any(not w > 0 for w in weights.values()):
@@ -65,10 +78,128 @@ def period_pattern(parts: Mapping[str | None, int]) -> list[tuple[str | None, in
     return out
 
 
+class Fluid:
+    """The fluid schedule: when each source's blocks begin and end, in slots."""
+
+    def __init__(self, weights: np.ndarray, blocks: np.ndarray):
+        if not (np.isfinite(weights) & (weights > 0)).all():
+            raise ValueError("every source needs a finite weight above zero")
+        self.weights, self.blocks = weights / weights.sum(), blocks.astype(np.int64)
+        self.total = int(self.blocks.sum())
+        ends = self.blocks / self.weights  # time without exhausted sources' slots being shared out
+        order = np.argsort(ends, kind="stable")
+        self.ends = ends[order]
+        self.gone = np.concatenate([[0], np.cumsum(self.blocks[order])])
+        self.rate = np.concatenate([np.cumsum(self.weights[order][::-1])[::-1], [0.0]])
+        self.end_slots = self.gone[1:] + self.ends * self.rate[1:]
+
+    def _slots(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """When source ``i`` has sent ``j`` blocks; a whole slot where only rounding parts them."""
+        at = j / self.weights[i]
+        run_out = np.searchsorted(self.ends, at, "left")
+        slot = self.gone[run_out] + at * self.rate[run_out]
+        near = np.rint(slot)
+        return np.where(np.abs(slot - near) < 1e-7 + 1e-13 * slot, near, slot)
+
+    def release(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.floor(self._slots(i, j)).astype(np.int64)
+
+    def due(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.ceil(self._slots(i, j + 1)).astype(np.int64)
+
+    def released(self, slot: int) -> np.ndarray:
+        """Blocks of each source that are released before ``slot``."""
+        run_out = int(np.searchsorted(self.end_slots, slot, "right"))
+        if slot >= self.total or run_out == len(self.blocks):
+            return self.blocks.copy()
+        at = (slot - self.gone[run_out]) / self.rate[run_out]
+        out = np.clip(np.ceil(self.weights * at), 0, self.blocks).astype(np.int64)
+        every = np.arange(len(out))
+        while len(over := every[out > 0][self.release(every[out > 0], out[out > 0] - 1) >= slot]):
+            out[over] -= 1
+        while len(under := every[out < self.blocks][self.release(every[out < self.blocks], out[out < self.blocks]) < slot]):
+            out[under] += 1
+        return out
+
+    def pending(self, slot: int) -> list[tuple[int, int, int]]:
+        """(deadline, source, block) of as many blocks as are released and not sent at ``slot``, the latest deadlines."""
+        out = self.released(slot)
+        n = int(out.sum()) - slot
+        some = np.flatnonzero(out)
+        due = self.due(some, out[some] - 1)
+        last = np.lexsort((some, due))[len(some) - n :]
+        return list(zip(due[last].tolist(), some[last].tolist(), (out[some[last]] - 1).tolist(), strict=True))
+
+    def lead(self, slot: int) -> int:
+        """A slot from which a run has met the true schedule by ``slot``."""
+        back = 64
+        while back < slot:
+            if max((due for due, _, _ in self.pending(slot - back)), default=0) <= slot:
+                return slot - back
+            back *= 2
+        return 0
+
+    def segments(self, size: int) -> list[tuple[int, int, int]]:
+        """(slot to begin at, first slot, slot after the last) of each task; leads together take no more than all slots."""
+        n = max(1, -(-self.total // size))
+        while True:
+            cuts = [self.total * k // n for k in range(n + 1)]
+            begins = [0]
+            for first in cuts[1:-1]:
+                begins.append(self.lead(first))
+                if sum(cuts[: len(begins)]) - sum(begins) > self.total:
+                    break
+            else:
+                return list(zip(begins, cuts[:-1], cuts[1:], strict=True))
+            n = -(-n // 2)
+
+    def order(self, begin: int, first: int, last: int) -> Iterator[tuple[list[int], list[int], list[int]]]:
+        """(sources, blocks, slots) of the slots from ``first`` to before ``last``, simulated from ``begin`` on."""
+        ready = self.pending(begin) if begin else []
+        heapq.heapify(ready)
+        before = self.released(begin)
+        for at in range(begin, last, STEP_SLOTS):
+            end = min(at + STEP_SLOTS, last)
+            upto = self.released(end)
+            n = upto - before
+            i = np.repeat(np.arange(len(n)), n)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n - before, n)
+            release, due, before = self.release(i, j), self.due(i, j), upto
+            by_release = np.argsort(release, kind="stable")
+            coming = zip(*(x[by_release].tolist() for x in (release, due, i, j)), strict=True)
+            following = next(coming, None)
+            sent: tuple[list[int], list[int], list[int]] = ([], [], [])
+            for slot in range(at, end):
+                while following and following[0] <= slot:
+                    heapq.heappush(ready, following[1:])
+                    following = next(coming, None)
+                due_at, source, block = heapq.heappop(ready)
+                if slot >= first:
+                    if due_at <= slot:
+                        raise AssertionError("a block missed its deadline")
+                    for column, value in zip(sent, (source, block, slot), strict=True):
+                        column.append(value)
+            yield sent
+
+
 def natural_weights(counts: Mapping[str | None, int], temperature: float = TEMPERATURE) -> dict[str | None, float]:
     return {s: float(n) ** temperature for s, n in counts.items()}
 
 
+def slot_table(docs: DataFrame, fluid: Fluid) -> DataFrame:
+    """``_id`` (of the source), ``_block``, ``_slot`` of every block, written once."""
+    tasks = fluid.segments(SEGMENT_SLOTS)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k in batch["id"]:
+                for source, block, slot in fluid.order(*tasks[k]):
+                    yield pd.DataFrame({"_id": source, "_block": block, "_slot": slot})
+
+    numbers = docs.sparkSession.range(0, len(tasks), 1, len(tasks))
+    return materialise(numbers.mapInPandas(run, "_id long, _block long, _slot long"), "slots")
+
+
 def scheduled(
     docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_documents: int = BLOCK_DOCUMENTS
 ) -> DataFrame:
@@ -77,12 +208,14 @@ def scheduled(
     Without ``weights`` they come from the source sizes; with them every source present must have one.
     """
     spark = docs.sparkSession
-    found = docs.groupBy("source").count().limit(MAX_SOURCES + 1).collect()
+    found = docs.groupBy("source").count().collect()
     counts = {r["source"]: r["count"] for r in sorted(found, key=lambda r: (r["source"] is not None, r["source"] or ""))}
     given = natural_weights(counts) if weights is None else {s: weights[s] for s in counts}
-    parts = shares(given) if given else {}
-    pattern = [(s, parts[s], j, slot) for s, j, slot in (period_pattern(parts) if parts else [])]
-    table = spark.createDataFrame(pattern, "_source string, _share int, _turn long, _first long")
+    blocks = -(-np.array(list(counts.values()), np.int64) // block_documents)
+    fluid = Fluid(np.array(list(given.values()), np.float64), blocks)
+    slots = slot_table(docs, fluid)
+    numbered = [pa.array(list(counts), pa.string()), pa.array(np.arange(len(counts))), pa.array(fluid.weights)]
+    of_source = spark.createDataFrame(pa.table(numbered, names=["_of", "_id", "_share"]))
 
     buckets = max(1, -(-sum(counts.values()) // BUCKET_DOCUMENTS))
     keyed = docs.withColumn("_hash", F.xxhash64("doc_id"))
@@ -90,22 +223,18 @@ def scheduled(
     sizes = keyed.groupBy(F.col("source").alias("_source"), F.col("_bucket").alias("_in")).agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_source").orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_source", "_in", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    offsets = offsets.join(of_source, F.expr("_source <=> _of")).drop("_of")
     order = Window.partitionBy("source", "_bucket").orderBy("_hash", "doc_id", "text_hash")
     ranked = keyed.withColumn("_row", F.row_number().over(order))
     ranked = ranked.join(offsets, F.expr("source <=> _source AND _bucket = _in"))
     rank = F.col("_offset") + F.col("_row") - 1
     ranked = ranked.withColumn("_block", F.floor(rank / block_documents)).withColumn("_place", rank % block_documents)
     ranked = ranked.drop("_source", "_in", "_offset", "_row", "_hash", "_bucket")
-    of_source = spark.createDataFrame([(s, n) for s, n in parts.items()], "_of string, _per int")
-    ranked = ranked.join(F.broadcast(of_source), F.expr("source <=> _of"))
-    ranked = ranked.withColumn("_wanted", F.col("_block") % F.col("_per"))
-    placed = ranked.join(F.broadcast(table), F.expr("source <=> _source AND _wanted = _turn"))
-    slot = F.floor(F.col("_block") / F.col("_share")) * PERIOD + F.col("_first")
-    return placed.withColumn("_slot", slot).drop("_source", "_turn", "_first", "_of", "_per", "_wanted")
+    return ranked.join(slots, ["_id", "_block"]).drop("_id")
 
 
 def schedule(docs: DataFrame, **options) -> DataFrame:
-    """One row per document: ``doc_id, source, block, place, slot, share`` (slots of the source in a period)."""
+    """One row per document: ``doc_id, source, block, place, slot, share`` (the exact weight of its source, of a sum of one)."""
     narrow = docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"))
     return scheduled(narrow, **options).select(
         "doc_id", "source", *(F.col(f"_{c}").alias(c) for c in ("block", "place", "slot")), F.col("_share").alias("share")

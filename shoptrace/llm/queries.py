@@ -45,6 +45,7 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    ship(spark)
     return mixing.schedule(documents(spark, folder))
 
 

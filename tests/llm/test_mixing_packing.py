@@ -4,6 +4,7 @@ import random
 from collections import Counter
 from fractions import Fraction
 
+import numpy as np
 import pytest
 
 from shoptrace.llm import mixing, packing
@@ -84,3 +85,34 @@ def test_every_word_is_packed_once(make_docs):
         assert sorted((r.piece, r.start, r.length) for r in found if r.doc_id == 8) == [(0, 0, 4096), (1, 4096, 4096), (2, 8192, 808)]
         assert sum(r.bin is None for r in found) == 2
     assert packing.pack_documents(packing.word_counts(make_docs([]).limit(0))).count() == 0
+
+
+def _order(fluid, segments):
+    return [(s, b, t) for task in segments for sent in fluid.order(*task) for s, b, t in zip(*sent, strict=True)]
+
+
+@pytest.mark.parametrize(
+    "weights", [[0.5, 0.3, 0.15, 0.05], [1.0] * 20, [1 / (i + 1) for i in range(200)], [3.0, *[0.01] * 600]], ids=["four", "equal", "many", "rare"]
+)
+def test_deviation_from_the_given_weights_stays_under_one_block(weights):
+    w = np.array(weights) / sum(weights)
+    blocks = np.ceil(w * 6000).astype(np.int64) + 1
+    fluid = mixing.Fluid(np.array(weights), blocks)
+    order = _order(fluid, fluid.segments(500))
+    assert [t for _, _, t in order] == list(range(int(blocks.sum())))
+    sent = np.zeros(len(w), np.int64)
+    for source, block, slot in order:
+        assert block == sent[source]
+        sent[source] += 1
+        if slot < 6000:  # all sources have blocks left
+            assert np.abs(sent - w * (slot + 1)).max() < 1 + 1e-6
+    assert (sent == blocks).all()
+
+
+def test_segments_give_what_one_run_gives():
+    r = random.Random(3)
+    for n in (1, 2, 7, 40):
+        fluid = mixing.Fluid(np.array([r.random() + 0.05 for _ in range(n)]), np.array([r.randint(1, 3000) for _ in range(n)]))
+        segments = fluid.segments(200)
+        assert _order(fluid, segments) == _order(fluid, [(0, 0, fluid.total)])
+        assert len(segments) > 1
