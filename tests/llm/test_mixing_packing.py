@@ -116,3 +116,11 @@ def test_segments_give_what_one_run_gives():
         segments = fluid.segments(200)
         assert _order(fluid, segments) == _order(fluid, [(0, 0, fluid.total)])
         assert len(segments) > 1
+
+
+def test_more_sources_than_a_period_has_slots(make_docs):
+    rows = [(i, f"t{i}", "en", f"host{i % 1100}") for i in range(2300)] + [(None, None, None, None)]
+    found = mixing.schedule(make_docs(rows), block_documents=1).collect()
+    assert sorted(r.slot for r in found) == list(range(len(rows)))
+    weights = {f"host{i}": 3.0 if i < 100 else 2.0 for i in range(1100)} | {None: 2.0}
+    assert {r.source: round(r.share * 2302) for r in mixing.schedule(make_docs(rows), weights=weights).collect()} == weights
