@@ -45,8 +45,8 @@ def _page(live: DataFrame, limit: int, first: bool) -> DataFrame:
     return entries.select("parent", "entry").join(chosen, ["parent", "entry"], "left")
 
 
-def assign(docs: DataFrame, limit_bytes: int = LIMIT_BYTES) -> DataFrame:
-    """One row per document: ``doc_id, n_bytes, shard`` (its bits), ``depth, shard_bytes, shard_docs, fits``."""
+def _directory(docs: DataFrame, limit_bytes: int) -> DataFrame:
+    """``doc_id, n_bytes, code, shard`` of each document."""
     code = hash_code(F.col("doc_id"), F.col("text"))
     narrow = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), code.alias("code")
@@ -63,13 +63,19 @@ def assign(docs: DataFrame, limit_bytes: int = LIMIT_BYTES) -> DataFrame:
         last = turn == ROUNDS - 1
         ready = placed if last else placed.filter("depth IS NOT NULL")
         shard = F.concat("parent", F.expr(f"substring(bits, 1, coalesce(depth, {PAGE_BITS}))"))
-        done.append(ready.select("doc_id", "n_bytes", shard.alias("shard")))
+        done.append(ready.select("doc_id", "n_bytes", "code", shard.alias("shard")))
         live = placed.filter("depth IS NULL").select("doc_id", "n_bytes", "code", "same", F.concat("parent", "bits").alias("parent"))
         if last or live.limit(1).count() == 0:
             break
     rows = done[0]
     for more in done[1:]:
         rows = rows.unionByName(more)
+    return rows
+
+
+def assign(docs: DataFrame, limit_bytes: int = LIMIT_BYTES) -> DataFrame:
+    """One row per document: ``doc_id, n_bytes, shard`` (its bits), ``depth, shard_bytes, shard_docs, fits``."""
+    rows = _directory(docs, limit_bytes).select("doc_id", "n_bytes", "shard")
     totals = rows.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes"), F.count("*").alias("shard_docs"))
     return rows.join(totals, "shard").select(
         "doc_id", "n_bytes", "shard", F.length("shard").alias("depth"), "shard_bytes", "shard_docs", (F.col("shard_bytes") <= limit_bytes).alias("fits")
@@ -78,8 +84,8 @@ def assign(docs: DataFrame, limit_bytes: int = LIMIT_BYTES) -> DataFrame:
 
 def write_shards(docs: DataFrame, path: str, limit_bytes: int = LIMIT_BYTES) -> None:
     """Write ``docs``, all columns, as one folder per shard."""
-    shards = assign(docs, limit_bytes).select(F.col("doc_id").alias("_id"), "shard").distinct()
-    placed = docs.join(shards, docs["doc_id"].eqNullSafe(shards["_id"])).drop(shards["_id"])
+    shards = _directory(docs, limit_bytes).select(F.col("code").alias("_code"), "shard").distinct()
+    placed = docs.join(shards, hash_code(docs["doc_id"], docs["text"]) == shards["_code"]).drop(shards["_code"])
     placed.repartition("shard").write.partitionBy("shard").parquet(path)
 
 

@@ -42,6 +42,23 @@ def test_shards_equal_bit_by_bit_splitting(make_docs):
     assert len(twice) == 3 and sum(not r.fits for r in twice) == 2
 
 
+def test_written_shards_hold_every_row_once(make_docs, tmp_path):
+    """Rows of a hot or NULL doc_id lie in the shards of their own texts."""
+    rows = [(doc_id, f"{i:04d}" * 10) for doc_id in (5, None) for i in range(40)] + [(i, "x" * 30) for i in range(10, 20)] + [(5, None), (5, "z" * 20), (5, "z" * 20)]
+    docs = make_docs(rows)
+    sharding.write_shards(docs, str(tmp_path / "shards"), 150)
+    folders = sorted((tmp_path / "shards").glob("shard=*"))
+    assert len(folders) > 20
+    parts = [docs.sparkSession.read.schema(docs.schema).parquet(str(f)) for f in folders]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    key = lambda x: (x[0] or 0, x[1] or "")
+    assert sorted(((r.doc_id, r.text) for r in whole.collect()), key=key) == sorted(rows, key=key)
+    wanted = sorted(r.shard_bytes for r in sharding.assign(docs, 150).select("shard", "shard_bytes").distinct().collect())
+    assert sorted(sum(len(r.text or "") for r in part.collect()) for part in parts) == wanted and max(wanted) <= 150
+
+
 def test_classifier_on_held_out_documents(spark, make_docs):
     r = random.Random(5)
     plain = [f"word{i}" for i in range(300)]
