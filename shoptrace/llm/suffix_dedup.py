@@ -19,8 +19,8 @@ sorted in one task: its windows are counted one by one under a 128-bit hash, com
 windows. The text itself is shuffled once, for both the spans that need sorting and the final cut.
 
 Defined results: a NULL text has no bytes. Texts under 200 bytes lose nothing. Repeated rows are occurrences of their own, so a
-repeated row of 200 bytes or more is removed wholly. A NULL doc_id stays NULL. Rows that share a doc_id are told apart by a
-16-bit hash of the text. No rows give no rows. Extra columns are ignored.
+repeated row of 200 bytes or more is removed wholly. A NULL doc_id stays NULL. A row is addressed by
+doc_id and a 64-bit hash of its text; rows equal in both share this key, and each of them is an occurrence. No rows give no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -116,9 +116,9 @@ def _sample_names(batches):
     yield from _chunks(rows(), ["sample"], [pa.int64()])
 
 
-def pack_place(position: np.ndarray, most: np.ndarray, least: np.ndarray, tag: int) -> np.ndarray:
-    """Position, farthest and nearest window start before it, and the text's tag in 64 bits."""
-    return (position << 32) | (most << 24) | (least << 16) | tag
+def pack_place(position: np.ndarray, most: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Position, and how far the farthest and nearest window start lie before it, in 64 bits."""
+    return (position << 16) | (most << 8) | least
 
 
 def _sample_rows(batches):
@@ -127,10 +127,10 @@ def _sample_rows(batches):
             name, at, begin, end = samples(data)
             raw = data.tobytes()
             hashed = [xxhash.xxh3_64_intdigest(raw[b : e + WIDTH]) for b, e in zip(begin.tolist(), end.tolist(), strict=True)]
-            place = pack_place(at, at - begin, at - end, int(tag))
-            yield name.view(np.int64), np.array(hashed, U).view(np.int64), np.full(len(at), doc), place
+            place = pack_place(at, at - begin, at - end)
+            yield name.view(np.int64), np.array(hashed, U).view(np.int64), np.full(len(at), doc), np.full(len(at), tag), place
 
-    yield from _chunks(rows(), ["sample", "span", "doc", "place"], [pa.int64()] * 4)
+    yield from _chunks(rows(), ["sample", "span", "doc", "tag", "place"], [pa.int64()] * 5)
 
 
 def _spans_of_docs(batches):
@@ -141,16 +141,16 @@ def _spans_of_docs(batches):
         rows = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
         flat = column.flatten()
         sample, place = (flat.field(k).to_numpy(False) for k in (0, 1))
-        position, most, least = place >> 32, (place >> 24) & 255, (place >> 16) & 255
+        position, most, least = place >> 16, (place >> 8) & 255, place & 255
         start = at[rows] + position
         behind = [raw[s : s + WIDTH - d].tobytes() for s, d in zip(start.tolist(), least.tolist(), strict=True)]
         before = [raw[s - m : s][::-1].tobytes() for s, m in zip(start.tolist(), most.tolist(), strict=True)]
-        doc = np.repeat(batch.column("key").to_numpy(False), np.diff(column.offsets.to_numpy()))
+        doc, tag = (batch.column(c).to_numpy(False)[rows] for c in ("key", "tag"))
         for i in range(0, len(rows), 20_000):
             part = slice(i, i + 20_000)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(sample[part]), pa.array(doc[part]), pa.array(place[part]), pa.array(behind[part], pa.binary()), pa.array(before[part], pa.binary())],
-                names=["sample", "doc", "place", "behind", "before"],
+                [*(pa.array(c[part]) for c in (sample, doc, tag, place)), pa.array(behind[part], pa.binary()), pa.array(before[part], pa.binary())],
+                names=["sample", "doc", "tag", "place", "behind", "before"],
             )
 
 
@@ -228,8 +228,8 @@ def induce(group: np.ndarray, behind: list[bytes], before: list[bytes], most: np
 
 def _repeated_bytes(spans: pa.Table) -> pa.RecordBatch:
     """(doc, tag, begin, end) of the bytes that repeated windows cover; ``spans`` holds whole classes in order."""
-    sample, doc, place = (spans.column(c).to_numpy() for c in ("sample", "doc", "place"))
-    position, most, least, tag = place >> 32, (place >> 24) & 255, (place >> 16) & 255, place & 0xFFFF
+    sample, doc, tag, place = (spans.column(c).to_numpy() for c in ("sample", "doc", "tag", "place"))
+    position, most, least = place >> 16, (place >> 8) & 255, place & 255
     group = np.cumsum(np.concatenate([[0], sample[1:] != sample[:-1]]))
     row, d = induce(group, spans.column("behind").to_pylist(), spans.column("before").to_pylist(), most, least)
     order = np.lexsort((-d, row))
@@ -240,7 +240,7 @@ def _repeated_bytes(spans: pa.Table) -> pa.RecordBatch:
     first = np.flatnonzero(head)
     last = np.append(first[1:], len(row)) - 1 if len(row) else first
     return pa.RecordBatch.from_arrays(
-        [pa.array(doc[row[first]]), pa.array(tag[row[first]].astype(np.int32)), pa.array(start[first]), pa.array(start[last] + WIDTH)],
+        [pa.array(doc[row[first]]), pa.array(tag[row[first]]), pa.array(start[first]), pa.array(start[last] + WIDTH)],
         names=["doc", "tag", "begin", "end"],
     )
 
@@ -266,8 +266,8 @@ def _repeated_windows(batches):
 def _window_hashes(batches):
     """Every window of the spans of hot classes, under a 128-bit hash."""
     for batch in batches:
-        for sample, doc, place, behind, before in zip(*(batch.column(c).to_pylist() for c in ("sample", "doc", "place", "behind", "before")), strict=True):
-            position, most, least, tag = place >> 32, (place >> 24) & 255, (place >> 16) & 255, place & 0xFFFF
+        for doc, tag, place, behind, before in zip(*(batch.column(c).to_pylist() for c in ("doc", "tag", "place", "behind", "before")), strict=True):
+            position, most, least = place >> 16, (place >> 8) & 255, place & 255
             whole = before[::-1] + behind
             steps = range(least, most + 1)
             keys = [xxhash.xxh3_128_digest(whole[most - d : most - d + WIDTH]) for d in steps]
@@ -276,7 +276,7 @@ def _window_hashes(batches):
                 [
                     pa.array([int.from_bytes(k[:8], "little", signed=True) for k in keys], pa.int64()),
                     pa.array([int.from_bytes(k[8:], "little", signed=True) for k in keys], pa.int64()),
-                    pa.array([doc] * n, pa.int64()), pa.array([tag] * n, pa.int32()), pa.array([position - d for d in steps], pa.int64()),
+                    pa.array([doc] * n, pa.int64()), pa.array([tag] * n, pa.int64()), pa.array([position - d for d in steps], pa.int64()),
                 ],
                 names=["w1", "w2", "doc", "tag", "begin"],
             )
@@ -316,47 +316,46 @@ def repeated_strings(docs: DataFrame, class_spans: int = CLASS_SPANS) -> DataFra
     """One row per document: bytes, bytes removed, removed runs, SHA-256 of what is left, and the runs as ``begin:end``."""
     spark = docs.sparkSession
     key = F.coalesce("doc_id", F.lit(_NULL_ID)).alias("key")
-    narrow = id_and_text(docs).select(key, F.xxhash64("text").bitwiseAND(F.lit((1 << 16) - 1)).cast("int").alias("tag"), "text")
+    narrow = id_and_text(docs).select(key, F.xxhash64("text").alias("tag"), "text")
     scanned = narrow.withColumnRenamed("key", "doc_id")
 
     # 1. samples whose string occurs again
     names = scanned.mapInArrow(_sample_names, "sample long").groupBy("sample").agg(F.count("*").alias("n"))
     again = materialise(names.filter("n > 1").select("sample"), "again")  # written, so that the join below can split hot samples
-    found = scanned.mapInArrow(_sample_rows, "sample long, span long, doc long, place long").join(again, "sample")
+    found = scanned.mapInArrow(_sample_rows, "sample long, span long, doc long, tag long, place long").join(again, "sample")
     found = materialise(found, "samples")
 
     # 2. equal spans are one
-    spans = found.groupBy("sample", "span").agg(F.count("*").alias("n"), F.min(F.struct("doc", "place")).alias("first"))
+    spans = found.groupBy("sample", "span").agg(F.count("*").alias("n"), F.min(F.struct("doc", "tag", "place")).alias("first"))
     spans = materialise(spans, "spans")
     copies = spans.filter("n > 1").select("sample", "span")
-    most, least = F.shiftright("place", 24).bitwiseAND(F.lit(255)), F.shiftright("place", 16).bitwiseAND(F.lit(255))
-    position, tag = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit(0xFFFF)).cast("int")
+    most, least = F.shiftright("place", 8).bitwiseAND(F.lit(255)), F.col("place").bitwiseAND(F.lit(255))
+    position = F.shiftright("place", 16)
     whole = found.join(copies, ["sample", "span"]).select(
-        "doc", tag.alias("tag"), (position - most).alias("begin"), (position - least + WIDTH).alias("end")
+        "doc", "tag", (position - most).alias("begin"), (position - least + WIDTH).alias("end")
     )
 
     # 3. and 4. different spans of one sample
     classes = spans.groupBy("sample").agg(F.count("*").alias("n_spans")).filter("n_spans > 1")
     wanted = spans.join(classes, "sample").select(
-        "sample", F.col("first.doc").alias("doc"), F.col("first.place").alias("place"), (F.col("n_spans") > class_spans).alias("hot")
+        "sample", "first.doc", "first.tag", "first.place", (F.col("n_spans") > class_spans).alias("hot")
     )
-    wanted = wanted.withColumn("tag", tag)
     of_doc = wanted.groupBy("doc", "tag").agg(F.collect_list(F.struct("sample", "place", "hot")).alias("wanted"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = narrow.repartition(parts, "key", "tag")
     with_spans = dealt.join(of_doc.withColumnsRenamed({"doc": "_doc", "tag": "_tag"}), F.expr("key = _doc AND tag = _tag"))
-    schema = "sample long, doc long, place long, behind binary, before binary"
+    schema = "sample long, doc long, tag long, place long, behind binary, before binary"
 
     def bytes_of(rows: DataFrame, hot: bool) -> DataFrame:
         chosen = rows.withColumn("wanted", F.filter("wanted", lambda x: x["hot"] == F.lit(hot)))
-        return chosen.filter(F.size("wanted") > 0).select("key", "text", "wanted").mapInArrow(_spans_of_docs, schema)
+        return chosen.filter(F.size("wanted") > 0).select("key", "tag", "text", "wanted").mapInArrow(_spans_of_docs, schema)
 
     plain = bytes_of(with_spans, False).repartition(parts, "sample").sortWithinPartitions("sample", "behind")
-    induced = plain.mapInArrow(_repeated_windows, "doc long, tag int, begin long, end long")
+    induced = plain.mapInArrow(_repeated_windows, "doc long, tag long, begin long, end long")
     pieces = [whole, induced]
     if wanted.filter("hot").limit(1).count():
         windows = materialise(
-            bytes_of(with_spans, True).mapInArrow(_window_hashes, "w1 long, w2 long, doc long, tag int, begin long"), "windows"
+            bytes_of(with_spans, True).mapInArrow(_window_hashes, "w1 long, w2 long, doc long, tag long, begin long"), "windows"
         )
         twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2")
         hit = windows.join(twice, ["w1", "w2"]).select("doc", "tag", "begin", (F.col("begin") + WIDTH).alias("end"))

@@ -7,6 +7,7 @@ import random
 from collections import Counter
 
 import pytest
+import xxhash
 
 from shoptrace.llm.suffix_dedup import repeated_strings
 
@@ -56,3 +57,19 @@ def test_repeated_rows_nulls_and_empty_tables(make_docs):
     assert repeated_strings(make_docs([]).limit(0)).count() == 0
     other = make_docs([(1, long), (1, long[::-1]), (2, "x" + long)])
     assert sorted(r.n_removed for r in repeated_strings(other).collect()) == [0, 315, 315]
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_rows_of_one_key_are_told_apart_by_the_whole_hash(make_docs, doc_id):
+    r = random.Random(11)
+    passage, own, other = ("".join(r.choice("abcdefgh ") for _ in range(n)) for n in (260, 700, 300))
+
+    def low(text):
+        return xxhash.xxh64_intdigest(text.encode(), 42) & 0xFFFF
+
+    first = "1" + passage + other
+    second = next(t for t in (f"{own}{i}" for i in range(2_000_000)) if low(t) == low(first))  # the same last 16 bits
+    found = repeated_strings(make_docs([(doc_id, first), (doc_id, second), (8, passage)])).collect()
+    assert sorted((x.n_bytes, x.n_removed, x.kept_sha256) for x in found) == sorted(
+        (n, gone, sha) for n, gone, _, sha in brute([first, second, passage])
+    )
