@@ -1,7 +1,7 @@
 """A training-data pipeline over ``documents``: quality rules, near-dedup, PII, source mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns of
-``documents``.
+``documents``. Packing groups follow the mixed order, which is the order of rows in the written files.
 """
 
 from __future__ import annotations
@@ -9,12 +9,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shoptrace.llm import mixing, near_dedup, packing, pii, quality_rules
 from shoptrace.llm.shared import documents, ship
 from shoptrace.sources.tables import materialise
 
 
+ORDER = ("in_part", "in_file", "in_row")
+
+
+def in_order(docs: DataFrame) -> DataFrame:
+    """``docs`` with the place of each row: of a written table by file and row, else by part and row. Spark deals files out by size."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        file = F.col("_metadata.file_name")
+        places = (F.regexp_extract(file, r"^part-(\d+)", 1).try_cast("long"), file, F.col("_metadata.row_index"))
+    else:
+        places = (F.lit(0), F.lit(""), F.monotonically_increasing_id())
+    return docs.select("*", *(p.alias(c) for p, c in zip(places, ORDER, strict=True)))
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     return quality_rules.filter_documents(docs)
@@ -36,7 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return packing.pack_documents(packing.word_counts(docs))
+    return packing.pack_documents(packing.word_counts(in_order(docs), ORDER), order=ORDER)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

@@ -7,6 +7,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from shoptrace.llm import mixing, packing
 
 
@@ -124,3 +125,24 @@ def test_more_sources_than_a_period_has_slots(make_docs):
     assert sorted(r.slot for r in found) == list(range(len(rows)))
     weights = {f"host{i}": 3.0 if i < 100 else 2.0 for i in range(1100)} | {None: 2.0}
     assert {r.source: round(r.share * 2302) for r in mixing.schedule(make_docs(rows), weights=weights).collect()} == weights
+
+
+def test_packing_follows_the_mix(spark, make_docs, tmp_path, monkeypatch):
+    """Equal weights for sources of unequal size: while both last, every group of sequences has as much of one as of the other."""
+    monkeypatch.setattr(packing.pack_documents, "__defaults__", (packing.CAPACITIES, packing.sequence_cost, 200, ()))
+    rows = [(i, "w " * (1 + i % 7), "en", "small" if i % 4 == 0 else "big") for i in range(2400)]
+    docs = make_docs(rows)
+    mixed = mixing.interleave(docs, weights={"big": 1.0, "small": 1.0}).cache()
+    mixed.write.parquet(str(tmp_path / "mixed"))
+    place = {r.doc_id: (r.slot, r.place) for r in mixing.schedule(docs, weights={"big": 1.0, "small": 1.0}).collect()}
+    for given in (spark.read.parquet(str(tmp_path / "mixed")), mixed):
+        found = dict(corpus_pipeline.STAGES)["packing"](spark, given, "").collect()
+        assert sorted(r.doc_id for r in found) == list(range(2400))
+        groups: dict = {}
+        for r in found:
+            groups.setdefault(r.bin >> 32, []).append(r.doc_id)
+        assert list(groups) == list(range(12)) and all(len(g) == 200 for g in groups.values())
+        for k in range(11):
+            assert max(place[i] for i in groups[k]) < min(place[i] for i in groups[k + 1])
+        for k in range(5):
+            assert abs(sum(i % 4 == 0 for i in groups[k]) - 100) <= 32
