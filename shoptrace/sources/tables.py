@@ -32,7 +32,20 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` once and return a reader of the written table."""
+    return written(df, label)[0]
+
+
+def written(df: DataFrame, label: str = "table") -> tuple[DataFrame, str]:
+    """Write ``df`` once; a reader of the written table, and its path for ``release``."""
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def release(spark: SparkSession, path: str) -> None:
+    """Delete a table of ``written`` that nothing will read again. Only folders below the shared one are accepted."""
+    if not path.startswith(f"{shared_folder(spark)}/shoptrace/"):
+        raise ValueError(f"not an intermediate table: {path}")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
