@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shoptrace.llm import (
+    centroid_clustering,
+    decontamination,
     fingerprints,
     mixing,
     near_dedup,
@@ -17,6 +19,7 @@ from shoptrace.llm import (
     sharding,
     suffix_dedup,
     token_counts,
+    vector_codes,
 )
 from shoptrace.llm.shared import documents, ship
 
@@ -69,11 +72,31 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.length_histogram(documents(spark, folder))
 
 
+def op11_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    ship(spark)
+    return centroid_clustering.cluster_report(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+def op12_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    ship(spark)
+    return decontamination.contamination_report(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    ship(spark)
+    return vector_codes.code_report(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_sharding, op2_quality_rules, op3_near_dedup, op4_pii, op5_packing, op6_mixing, op7_quality_classifier,
-        op8_fingerprints, op9_suffix_dedup, op10_token_counts,
+        op8_fingerprints, op9_suffix_dedup, op10_token_counts, op11_centroid_clustering, op12_decontamination, op13_vector_codes,
     )
 }
-ORACLE: dict[str, str] = {"op1_sharding": sharding.ORACLE}
+ORACLE: dict[str, str] = {
+    "op1_sharding": sharding.ORACLE,
+    "op11_centroid_clustering": centroid_clustering.ORACLE,
+    "op12_decontamination": decontamination.ORACLE,
+    "op13_vector_codes": vector_codes.ORACLE,
+}
