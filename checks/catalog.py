@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from checks.fixtures import raw_events, raw_purchases
 from shoptrace.functions import rules
-from shoptrace.operators import audit, cart, funnel, hypothesis, kpi, prepare, retention, revenue, rfm, sampling
+from shoptrace.operators import audit, audit_store, cart, funnel, hypothesis, kpi, prepare, retention, revenue, rfm, sampling
 from shoptrace.sources import events as source
 from shoptrace.sources.tables import materialise, new_path
 
@@ -109,6 +109,21 @@ def _read_back(spark, d):
     return source.read_events(spark, paths).withColumn("src", F.regexp_extract("src", "csv-(part_[ab])", 1))
 
 
+def _incremental_audit(spark, d):
+    """Two deliveries as CSV: the first is audited and stored, then both, of which the store makes only the second be read."""
+    paths = []
+    for part in ("part_a", "part_b"):
+        paths.append(new_path(spark, f"csv-{part}"))
+        source.write_result(raw_events(spark, d).where(F.col("src") == part).drop("src").coalesce(1), paths[-1])
+    store = new_path(spark, "audit-store")
+    audit_store.refresh(spark, paths[:1], store, HIGH_PRICE)
+    return audit_store.incremental_audit(spark, paths, store, HIGH_PRICE)
+
+
+def _profile(spark, d):
+    return audit.profile(audit.file_records(raw_events(spark, d), HIGH_PRICE))
+
+
 def _retail_raw(spark, d):
     log = raw_events(spark, d)
     first = log.where(F.col("src") == "part_a").drop("category_id")
@@ -178,6 +193,10 @@ QUERIES: dict[str, Query] = {
     "approx_distinct_kmv": lambda s, d: audit.kmv_distinct(raw_events(s, d), "price", KMV_SIZE),
     "approx_distinct_merge": lambda s, d: audit.approx_distinct_merge(raw_events(s, d)),
     "audit_combined": lambda s, d: audit.audit_combined(raw_events(s, d), HIGH_PRICE),
+    "audit_incremental": _incremental_audit,
+    "audit_profile": _profile,
+    "audit_profile_event_mix": lambda s, d: audit.profile_event_mix(audit.file_records(raw_events(s, d))),
+    "audit_profile_missing": lambda s, d: audit.profile_missing(_profile(s, d), "all"),
     "audit_combined_event_mix": lambda s, d: audit.audit_event_mix(raw_events(s, d), ()),
     "audit_combined_missing": lambda s, d: audit.audit_missing(raw_events(s, d), ()),
     # exploratory aggregates

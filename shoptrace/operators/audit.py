@@ -1,7 +1,8 @@
 """Data-quality profile of a raw (all-text) log, per source file or combined.
 
-Every function takes ``by``: ``("src",)`` profiles each file, ``()`` the whole log. All of it is partial aggregation: a file
-holding most of the rows is folded inside the scan tasks.
+Every function over the log takes ``by``: ``("src",)`` profiles each file, ``()`` the whole log. All of it is partial aggregation: a
+file holding most of the rows is folded inside the scan tasks. ``file_records`` makes one pass for all of the profile but the top
+prices; the ``profile`` functions, ``combined`` and ``merged_estimates`` then work on these few rows.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ PER_FILE = ("src",)
 MISSING = "<missing>"
 KMV_SIZE = 4096
 HIGH_PRICE = 10_000
+#: Sketches of distinct values keep 2**14 hashes: exact below that, then a standard error of 0.8%.
+SKETCH_LG = 14
 
 
 def _filled(name: str) -> Column:
@@ -82,33 +85,94 @@ def kmv_estimate(hashes: DataFrame, by: Sequence[str] = (), k: int = KMV_SIZE) -
 
 
 DISTINCT = {"user_id": "distinct_users", "user_session": "distinct_sessions"}
+CHECKS = ("zero_price", "negative_price", "high_price")
 
 
-def _times(raw: DataFrame, by: Sequence[str], measures: Sequence[Column], folded: Sequence[Column]) -> DataFrame:
-    """Measures per group with the least and greatest event time. Times are grouping keys first: text minima would be sorted."""
-    by_time = raw.groupBy(*by, _filled("event_time").alias("_time")).agg(*measures)
-    return by_time.groupBy(*by).agg(*folded, F.min("_time").alias("min_event_time"), F.max("_time").alias("max_event_time"))
+def _counters(high: float) -> list[Column]:
+    price = _price()
+    checks = (price == 0, price < 0, price > high)
+    return [F.count(F.lit(1)).alias("row_count"), *[F.count_if(c).alias(name) for name, c in zip(CHECKS, checks, strict=True)]]
 
 
-def audit_overview(raw: DataFrame, by: Sequence[str] = PER_FILE) -> DataFrame:
-    """Rows, least and greatest event time (as text), approximate distinct users and sessions."""
-    n = F.coalesce(F.sum("_n"), F.lit(0)).alias("row_count")
-    counts = _times(raw, by, [F.count(F.lit(1)).alias("_n")], [n])
-    estimates = kmv_estimate(kmv_hashes(raw, list(DISTINCT), by), by)
-    if not by:
-        for column, name in DISTINCT.items():
-            one = estimates.where(F.col("column_name") == column).select("distinct_estimate").scalar()
-            counts = counts.withColumn(name, F.coalesce(one, F.lit(0)))
-        return counts
-    wide = estimates.groupBy(*by).pivot("column_name", list(DISTINCT)).agg(F.max("distinct_estimate"))
-    return counts.join(wide, list(by), "left").select(
-        *counts.columns, *[F.coalesce(column, F.lit(0)).alias(name) for column, name in DISTINCT.items()]
+def _times() -> list[Column]:
+    """Beside a sketch these text extremes are kept in an object aggregate; alone they would make Spark sort the log."""
+    return [F.min(_filled("event_time")).alias("min_event_time"), F.max(_filled("event_time")).alias("max_event_time")]
+
+
+def _sketches(columns: Sequence[str]) -> list[Column]:
+    return [F.theta_sketch_agg(_filled(c), SKETCH_LG).alias(f"{c}_sketch") for c in columns]
+
+
+def _estimates(columns: Sequence[str]) -> list[Column]:
+    return [F.theta_sketch_estimate(f"{c}_sketch").alias(DISTINCT[c]) for c in columns]
+
+
+def _folds(columns: Sequence[str]) -> list[Column]:
+    """How records merge: counts add, extremes fold, sketches unite."""
+    out = []
+    for name in columns:
+        if name.endswith("_sketch"):
+            out.append(F.theta_union_agg(name, SKETCH_LG).alias(name))
+        elif name in ("min_event_time", "max_event_time"):
+            out.append((F.min if name.startswith("min") else F.max)(name).alias(name))
+        else:
+            out.append(F.coalesce(F.sum(name), F.lit(0)).alias(name))
+    return out
+
+
+def file_records(raw: DataFrame, high: float = HIGH_PRICE) -> DataFrame:
+    """All that the profile of a log needs, one small row per file and event type, from one pass over the log.
+
+    Rows, event time extremes, blanks per column (``missing_<column>``), price checks, and a mergeable sketch each of users and
+    sessions. The functions below read such records, written or not, of any number of files.
+    """
+    blanks = [F.count_if(is_blank(c)).alias(f"missing_{c}") for c in raw.columns if c not in PER_FILE]
+    return raw.groupBy("src", strip("event_type").alias("event_type")).agg(*_counters(high), *_times(), *blanks, *_sketches(list(DISTINCT)))
+
+
+def folded(records: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Records merged per ``by``."""
+    return records.groupBy(*by).agg(*_folds([c for c in records.columns if c not in ("src", "event_type", *by)]))
+
+
+def profile(records: DataFrame) -> DataFrame:
+    """One row per file and one for the whole log (``scope`` 'file' or 'all', src NULL), by grouping sets over the files' rows.
+
+    An empty log has no rows here.
+    """
+    files = folded(records, ["src"])
+    measures = [c for c in files.columns if c != "src"]
+    both = files.groupingSets([[F.col("src")], []], "src").agg(
+        F.when(F.grouping("src") == 1, "all").otherwise("file").alias("scope"), F.count(F.lit(1)).alias("files"), *_folds(measures)
     )
+    kept = [c for c in measures if not c.endswith("_sketch")]
+    return both.select("scope", "src", "files", *kept, *_estimates(list(DISTINCT)))
+
+
+def profile_event_mix(records: DataFrame, by: Sequence[str] = PER_FILE) -> DataFrame:
+    counts = records.groupBy(*by, "event_type").agg(F.sum("row_count").alias("events")).where("events > 0")
+    return _shares(counts, by)
+
+
+def profile_missing(profiled: DataFrame, scope: str = "file") -> DataFrame:
+    """``audit_missing`` from the rows of ``profile`` of one scope."""
+    names = [c.removeprefix("missing_") for c in profiled.columns if c.startswith("missing_")]
+    wide = profiled.where(F.col("scope") == scope).select("src", F.col("row_count").alias("_rows"), *[F.col(f"missing_{c}").alias(c) for c in names])
+    return _blanks(wide if scope == "file" else wide.drop("src"), PER_FILE if scope == "file" else (), names)
+
+
+def audit_overview(raw: DataFrame, by: Sequence[str] = PER_FILE) -> DataFrame:
+    """Rows, least and greatest event time (as text), approximate distinct users and sessions; one pass over the log."""
+    folds = raw.groupBy(*by).agg(F.count(F.lit(1)).alias("row_count"), *_times(), *_sketches(list(DISTINCT)))
+    return folds.select(*by, "row_count", "min_event_time", "max_event_time", *_estimates(list(DISTINCT)))
 
 
 def audit_event_mix(raw: DataFrame, by: Sequence[str] = PER_FILE) -> DataFrame:
     """Events and share per event type; types are stripped, not lower-cased."""
-    counts = raw.groupBy(*by, strip("event_type").alias("event_type")).agg(F.count(F.lit(1)).alias("events"))
+    return _shares(raw.groupBy(*by, strip("event_type").alias("event_type")).agg(F.count(F.lit(1)).alias("events")), by)
+
+
+def _shares(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     whole = Window.partitionBy(*by)  # sees one row per event type
     return counts.withColumn("share_pct", pct("events", F.sum("events").over(whole))).orderBy(
         *by, F.desc("events"), "event_type"
@@ -121,6 +185,10 @@ def audit_missing(raw: DataFrame, by: Sequence[str] = PER_FILE) -> DataFrame:
     wide = raw.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_rows"), *[F.count_if(is_blank(c)).alias(c) for c in names]
     )
+    return _blanks(wide, by, names)
+
+
+def _blanks(wide: DataFrame, by: Sequence[str], names: Sequence[str]) -> DataFrame:
     return (
         wide.unpivot([*by, "_rows"], names, "column_name", "missing")
         .select(*by, "column_name", "missing", pct("missing", "_rows").alias("missing_pct"))
@@ -192,28 +260,31 @@ def kmv_distinct(df: DataFrame, column: str, k: int = KMV_SIZE) -> DataFrame:
     return found.agg(zero("hashes_kept"), zero("distinct_estimate"))
 
 
+def distinct_sketches(raw: DataFrame, columns: Sequence[str], by: Sequence[str] = PER_FILE) -> DataFrame:
+    """One sketch per group and column (``<column>_sketch``), to be stored and merged later without the rows."""
+    return raw.groupBy(*by).agg(*_sketches(columns))
+
+
 def approx_distinct_merge(raw: DataFrame, columns: Sequence[str] = ("user_id", "user_session")) -> DataFrame:
     """One sketch per file, merged over files: a distinct estimate per column that never revisits the rows."""
-    merged = kmv_estimate(kmv_merge(kmv_hashes(raw, columns)))
-    names = raw.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
-    return names.join(merged, "column_name", "left").select("column_name", F.coalesce("distinct_estimate", F.lit(0)).alias("distinct_estimate"))
+    return merged_estimates(distinct_sketches(raw, columns), columns)
+
+
+def merged_estimates(sketches: DataFrame, columns: Sequence[str] = ("user_id", "user_session")) -> DataFrame:
+    """Distinct estimate per column over stored sketches."""
+    merged = sketches.agg(*_folds([f"{c}_sketch" for c in columns]))
+    each = [F.struct(F.lit(c).alias("column_name"), F.theta_sketch_estimate(f"{c}_sketch").alias("distinct_estimate")) for c in columns]
+    return merged.select(F.inline(F.array(*each)))
 
 
 def audit_combined(raw: DataFrame, high: float = HIGH_PRICE) -> DataFrame:
-    """Per-file records folded into one: counts add, extremes fold, sketches merge."""
-    price = _price()
-    checks = {"zero_price": price == 0, "negative_price": price < 0, "high_price": price > high}
-    measures = [F.count(F.lit(1)).alias("row_count"), *[F.count_if(c).alias(name) for name, c in checks.items()]]
-    names = ["row_count", *checks]
-    files = materialise(_times(raw, PER_FILE, measures, [F.sum(x).alias(x) for x in names]), "file-records")
-    out = files.agg(
-        F.count(F.lit(1)).alias("files"),
-        *[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in names],
-        F.min("min_event_time").alias("min_event_time"),
-        F.max("max_event_time").alias("max_event_time"),
-    )
-    merged = materialise(kmv_estimate(kmv_merge(kmv_hashes(raw, list(DISTINCT)))), "estimates")
-    for column, name in DISTINCT.items():
-        one = merged.where(F.col("column_name") == column).select("distinct_estimate").scalar()
-        out = out.withColumn(name, F.coalesce(one, F.lit(0)))
-    return out
+    """Per-file records folded into one: counts add, extremes fold, sketches merge; one pass over the log."""
+    return combined(raw.groupBy("src").agg(*_counters(high), *_times(), *_sketches(list(DISTINCT))))
+
+
+def combined(records: DataFrame) -> DataFrame:
+    """One row from records of any number of files."""
+    files = folded(records, ["src"])
+    measures = [c for c in files.columns if c != "src"]
+    out = files.agg(F.count(F.lit(1)).alias("files"), *_folds(measures))
+    return out.select("files", "row_count", *CHECKS, "min_event_time", "max_event_time", *_estimates(list(DISTINCT)))

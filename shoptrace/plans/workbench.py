@@ -1,19 +1,25 @@
 """All analyses over one event log, sharing the tables they have in common.
 
-Each shared table is computed once, on first use, and written to the shared folder; every report reads the written table. The
-log itself is scanned three times in all: for the audit, for the (session, product) facts, and for the purchases.
+Each shared table is computed once, on first use, and written; every report reads the written table. The log itself is scanned
+for the audit's records, for the dearest rows, for the (session, product) facts, and for the purchases.
+
+Without ``folder`` the tables lie in the shared folder and belong to the workbench: ``release`` (or leaving a ``with`` block) deletes
+them, after which nothing built on them can be read. With ``folder`` they are kept there under their names, and a workbench that is
+opened on the folder again reads those that are complete instead of the log. Such a folder belongs to one log and one ``Settings``: whoever
+changes either takes another folder.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from shoptrace.operators import audit, cart, funnel, hypothesis, kpi, prepare, retention, revenue, rfm
 from shoptrace.sources.events import write_result
-from shoptrace.sources.tables import materialise
+from shoptrace.sources.tables import complete, release, written
 
 
 @dataclass(frozen=True)
@@ -38,23 +44,55 @@ class Settings:
 class Workbench:
     """``Workbench(raw).results()`` is every result table by name; ``typed`` skips cleaning for a stored cleaned log."""
 
-    def __init__(self, raw: DataFrame | None = None, typed: DataFrame | None = None, settings: Settings = Settings()):
+    def __init__(
+        self, raw: DataFrame | None = None, typed: DataFrame | None = None, settings: Settings = Settings(), folder: str | None = None
+    ):
         if raw is None and typed is None:
             raise ValueError("give a raw or a typed event log")
         self.raw = raw
         self.typed = typed if typed is not None else prepare.clean_events(raw)
         self.settings = settings
+        self.folder = folder
+        self._paths: list[str] = []
+
+    def _kept(self, table: Callable[[], DataFrame], name: str) -> DataFrame:
+        """The written form of a shared table: what ``folder`` has of it, or computed and written now."""
+        if self.folder is None:
+            reader, path = written(table(), name)
+            self._paths.append(path)
+            return reader
+        path = f"{self.folder}/{name}"
+        if not complete(self.spark, path):
+            table().write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+    @property
+    def spark(self) -> SparkSession:
+        return self.typed.sparkSession
+
+    def release(self) -> None:
+        """Delete the tables this workbench has written to the shared folder. A kept ``folder`` stays."""
+        while self._paths:
+            release(self.spark, self._paths.pop())
+        for name in [n for n, x in vars(type(self)).items() if isinstance(x, cached_property)]:
+            self.__dict__.pop(name, None)
+
+    def __enter__(self) -> Workbench:
+        return self
+
+    def __exit__(self, *failure) -> None:
+        self.release()
 
     # shared tables
 
     @cached_property
     def purchases(self) -> DataFrame:
-        return materialise(prepare.purchases(self.typed), "purchases")
+        return self._kept(lambda: prepare.purchases(self.typed), "purchases")
 
     @cached_property
     def facts(self) -> DataFrame:
         """Funnel and cart facts per (session, product): the one wide shuffle of the log."""
-        return materialise(prepare.session_product_facts(prepare.funnel_events(self.typed)), "facts")
+        return self._kept(lambda: prepare.session_product_facts(prepare.funnel_events(self.typed)), "facts")
 
     @cached_property
     def funnel(self) -> DataFrame:
@@ -66,42 +104,61 @@ class Workbench:
 
     @cached_property
     def sessions(self) -> DataFrame:
-        return materialise(prepare.purchase_sessions(self.purchases), "sessions")
+        return self._kept(lambda: prepare.purchase_sessions(self.purchases), "sessions")
 
     @cached_property
     def journey(self) -> DataFrame:
-        return materialise(prepare.journey(self.sessions), "journey")
+        return self._kept(lambda: prepare.journey(self.sessions), "journey")
 
     @cached_property
     def customers(self) -> DataFrame:
-        return materialise(rfm.rfm(self.purchases), "customers")
+        return self._kept(lambda: rfm.rfm(self.purchases), "customers")
 
     # small results other reports build on
 
     @cached_property
     def category_table(self) -> DataFrame:
-        return materialise(funnel.category_funnel(self.funnel), "category-funnel")
+        return self._kept(lambda: funnel.category_funnel(self.funnel), "category-funnel")
 
     @cached_property
     def category_mix(self) -> DataFrame:
-        return materialise(funnel.category_mix(self.funnel), "category-mix")
+        return self._kept(lambda: funnel.category_mix(self.funnel), "category-mix")
 
     @cached_property
     def brand_mix(self) -> DataFrame:
-        return materialise(funnel.brand_mix(self.funnel), "brand-mix")
+        return self._kept(lambda: funnel.brand_mix(self.funnel), "brand-mix")
 
     @cached_property
     def matrix(self) -> DataFrame:
-        return materialise(funnel.opportunity_matrix(self.category_table, self.settings.min_views), "matrix")
+        return self._kept(lambda: funnel.opportunity_matrix(self.category_table, self.settings.min_views), "matrix")
 
     @cached_property
     def segment_summary(self) -> DataFrame:
-        return materialise(rfm.rfm_segment_summary(self.customers), "segments")
+        return self._kept(lambda: rfm.rfm_segment_summary(self.customers), "segments")
+
+    @cached_property
+    def opportunity(self) -> DataFrame:
+        return self._kept(lambda: funnel.opportunity_summary(self.matrix), "opportunity")
+
+    @cached_property
+    def audit_records(self) -> DataFrame:
+        """One small row per file and event type, from one pass over the raw log."""
+        if self.raw is None:
+            raise ValueError("the audit reads the raw log")
+        return self._kept(lambda: audit.file_records(self.raw, self.settings.high_price), "audit-records")
+
+    @cached_property
+    def audit_profile(self) -> DataFrame:
+        return self._kept(lambda: audit.profile(self.audit_records), "audit-profile")
+
+    @cached_property
+    def audit_top_prices(self) -> DataFrame:
+        return self._kept(lambda: audit.audit_top_prices(self.raw), "audit-top-prices")
 
     @cached_property
     def retention(self) -> DataFrame:
-        activity = materialise(retention.cohort_activity(self.sessions), "cohort-activity")
-        return materialise(retention.cohort_retention(activity, retention.cohort_sizes(self.journey)), "retention")
+        activity = self._kept(lambda: retention.cohort_activity(self.sessions), "cohort-activity")
+        return self._kept(lambda: retention.cohort_retention(activity, retention.cohort_sizes(self.journey)), "retention")
 
     # result sets
 
@@ -120,7 +177,7 @@ class Workbench:
             "category_mix_summary": self.category_mix,
             "brand_mix_summary": self.brand_mix,
             "category_monthly_funnel": funnel.category_monthly_funnel(prepare.funnel_events(self.typed)),
-            "category_opportunity_summary": funnel.opportunity_summary(self.matrix),
+            "category_opportunity_summary": self.opportunity,
             "category_opportunity_detailed": funnel.opportunity_detailed(self.matrix),
             "rfm_customer_segments": self.customers,
             "rfm_segment_summary": self.segment_summary,
@@ -172,7 +229,7 @@ class Workbench:
             ),
             "cohort_month1": retention.cohort_month(self.retention, s.months[0]),
             "kpi_facts": kpi.kpi_facts(
-                materialise(funnel.opportunity_summary(self.matrix), "opportunity"),
+                self.opportunity,
                 self.category_mix,
                 hypothesis.conversion_ztest(self.funnel, s.focus),
                 self.segment_summary,
@@ -184,16 +241,21 @@ class Workbench:
         }
 
     def audit(self) -> dict[str, DataFrame]:
-        """The data-quality profile; needs the raw log with ``src``."""
-        if self.raw is None:
-            raise ValueError("the audit reads the raw log")
+        """The data-quality profile per file and of the whole log; needs the raw log with ``src``."""
+        profiled = self.audit_profile
+        of_files = profiled.where("scope = 'file'")
+        checks = ("src", *audit.CHECKS)
         return {
-            "audit_overview": audit.audit_overview(self.raw),
-            "audit_event_mix": audit.audit_event_mix(self.raw),
-            "audit_missing": audit.audit_missing(self.raw),
-            "audit_price_checks": audit.audit_price_checks(self.raw, high=self.settings.high_price),
-            "audit_top_prices": audit.audit_top_prices(self.raw),
-            "audit_combined": audit.audit_combined(self.raw, self.settings.high_price),
+            "audit_overview": of_files.select("src", "row_count", "min_event_time", "max_event_time", *audit.DISTINCT.values()),
+            "audit_event_mix": audit.profile_event_mix(self.audit_records),
+            "audit_missing": audit.profile_missing(profiled),
+            "audit_price_checks": of_files.select(*checks),
+            "audit_top_prices": self.audit_top_prices,
+            "audit_combined": audit.combined(self.audit_records),
+            "audit_combined_event_mix": audit.profile_event_mix(self.audit_records, ()),
+            "audit_combined_missing": audit.profile_missing(profiled, "all"),
+            "audit_top_prices_combined": audit.audit_top_prices_combined(self.audit_top_prices),
+            "approx_distinct_merge": audit.merged_estimates(self.audit_records),
         }
 
     def write_results(self, folder: str, fmt: str = "csv") -> None:

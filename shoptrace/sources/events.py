@@ -24,17 +24,19 @@ EVENT_COLUMNS = (
 )
 
 
-def read_events(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Header CSV logs, one path (file, folder or glob) per delivery, matched by column name, duplicates kept.
+def read_events(spark: SparkSession, paths: Sequence[str | list[str]], multi_line: bool = False) -> DataFrame:
+    """Header CSV logs, one path (file, folder or glob) or list of paths per delivery, matched by column name, duplicates kept.
 
     Every column is text: types are fixed later by the cleaning step, so nothing drifts between deliveries and no pass over
     the data is spent on inference. ``src`` is the full path of the
-    file a row came from. Quoted fields follow the CSV standard: a quote inside is doubled. Within one path the headers must agree; Spark
-    checks that and raises.
+    file a row came from. Quoted fields follow the CSV standard: a quote inside is doubled. Within one delivery the headers must agree;
+    Spark checks that and raises. Line breaks inside quoted fields need ``multi_line``: without it a row ends at each line end, with it
+    a file is no longer split, so one task reads each file and many files of moderate size should be given.
     """
     if not paths:
         raise ValueError("read_events needs at least one path")
     reader = spark.read.option("header", True).option("enforceSchema", False).option("escape", QUOTE)
+    reader = reader.option("multiLine", multi_line)
     logs = [reader.csv(p).withColumn("src", F.col("_metadata.file_path")) for p in paths]
     merged = union_logs(logs)
     for name in EVENT_COLUMNS:
@@ -43,6 +45,16 @@ def read_events(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return merged
 
 
+def list_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(delivery, src, file_size, modified) of the files of each path; their contents are not read."""
+    listed = []
+    for number, path in enumerate(paths):
+        files = spark.read.format("binaryFile").load(path)
+        mark = [F.col(f"_metadata.{c}").alias(name) for c, name in (("file_path", "src"), ("file_size", "file_size"), ("file_modification_time", "modified"))]
+        listed.append(files.select(F.lit(number).alias("delivery"), *mark))
+    return reduce(DataFrame.unionByName, listed)
+
+
 def union_logs(logs: Sequence[DataFrame]) -> DataFrame:
     """Union of deliveries by column name; a column absent from one is NULL there."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), logs)

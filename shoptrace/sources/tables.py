@@ -47,5 +47,16 @@ def release(spark: SparkSession, path: str) -> None:
     """Delete a table of ``written`` that nothing will read again. Only folders below the shared one are accepted."""
     if not path.startswith(f"{shared_folder(spark)}/shoptrace/"):
         raise ValueError(f"not an intermediate table: {path}")
+    files, place = _files(spark, path)
+    files.delete(place, True)
+
+
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether a whole table lies there: the writer leaves its mark last."""
+    files, mark = _files(spark, f"{path}/_SUCCESS")
+    return files.exists(mark)
+
+
+def _files(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place

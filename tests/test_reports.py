@@ -4,6 +4,7 @@ import random
 from datetime import date
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from shoptrace.operators import audit, cart, funnel, hypothesis, prepare, retention, revenue, rfm, sampling
@@ -187,3 +188,28 @@ def test_box_and_test_tables_have_stable_columns(make_raw):
         "hypothesis", "group_a", "group_b", "metric_a", "metric_b", "uplift_pct", "test", "statistic", "p_value",
     ]
     assert hypothesis.price_box_by_brand(bench.purchases).count() == 3
+
+
+def test_kept_tables_are_read_again_and_own_tables_released(make_raw, tmp_path):
+    raw = shop(make_raw, 200)
+    first = Workbench(raw, settings=SMALL, folder=str(tmp_path / "kept"))
+    trend = first.results()["monthly_trend"].collect()
+    profile = {k: t.count() for k, t in first.audit().items()}
+    assert {"purchases", "facts", "audit-records"} <= {p.name for p in (tmp_path / "kept").iterdir()}
+    # the second one is given an empty log: what it returns comes from the folder
+    second = Workbench(raw.where("false"), settings=SMALL, folder=str(tmp_path / "kept"))
+    assert second.results()["monthly_trend"].collect() == trend and trend
+    assert {k: t.count() for k, t in second.audit().items()} == profile
+    # a table whose writing did not end is written again
+    (tmp_path / "kept" / "purchases" / "_SUCCESS").unlink()
+    assert Workbench(raw.where("false"), settings=SMALL, folder=str(tmp_path / "kept")).purchases.count() == 0
+
+    with Workbench(raw, settings=SMALL) as own:
+        assert own.purchases.count() == first.purchases.count() or first.purchases.count() == 0
+        paths = list(own._paths)
+        assert paths
+    assert not own._paths
+    for path in paths:
+        with pytest.raises(AnalysisException):
+            raw.sparkSession.read.parquet(path)
+    assert own.purchases.count() > 0  # computed anew when asked for again
