@@ -23,11 +23,13 @@ TOP_PRODUCTS = 15
 HIGH_PRICE = 200
 KMV_SIZE = 256
 SAMPLE_SIZE = 1000
+STRATUM_SIZE = 100
 FOCUS = "ECONOMY.16"
 BRANDS = ("Brand#2", "Brand#4")
 BOX_BRANDS = ("Brand#2", "Brand#4", "Brand#17")
 MONTHS = ("1998-10-01", "1998-11-01")
 COHORT = "1995-12-01"
+HEATMAP_MONTHS = range(84)
 HORIZONS = (90, 365)
 DAYS_LIMIT = 730
 
@@ -246,19 +248,24 @@ QUERIES: dict[str, Query] = {
     "mwu_brand": lambda s, d: _nine("z", "p_value")(hypothesis.mann_whitney_brands(_buys(s, d), *BRANDS)),
     "ztest_conversion": lambda s, d: _nine("statistic", "p_value")(hypothesis.conversion_ztest(_funnel(s, d), FOCUS)),
     "stat_tests_summary": lambda s, d: _nine("statistic", "p_value")(
-        hypothesis.stat_tests_summary(materialise(_buys(s, d), "purchases"), _funnel(s, d), *MONTHS, *BRANDS, FOCUS)
+        hypothesis.stat_tests_summary(_buys(s, d), _funnel(s, d), *MONTHS, *BRANDS, FOCUS)
     ),
     "conversion_comparison": lambda s, d: hypothesis.conversion_comparison(_funnel(s, d), FOCUS),
     "price_box_by_month": lambda s, d: hypothesis.price_box_by_month(_buys(s, d)),
     "price_box_by_brand": lambda s, d: hypothesis.price_box_by_brand(_buys(s, d), BOX_BRANDS),
+    "price_box_sampled_by_month": lambda s, d: hypothesis.price_box_by_month(_buys(s, d), SAMPLE_SIZE),
+    "price_box_sampled_by_brand": lambda s, d: hypothesis.price_box_by_brand(_buys(s, d), BOX_BRANDS, SAMPLE_SIZE),
     "sample_rows": lambda s, d: sampling.sample_n(
         _buys(s, d).select("month_date", "price"), SAMPLE_SIZE, 7, F.concat_ws("|", "month_date", rules.cents("price"))
     ),
+    "stratified_sample": lambda s, d: sampling.sample_per_group(
+        _buys(s, d).select("brand", "price"), ["brand"], STRATUM_SIZE, 7, F.concat_ws("|", "brand", rules.cents("price"))
+    ),
     # retention and cohorts
     "cohort_activity": lambda s, d: retention.cohort_activity(_sessions(s, d)),
     "cohort_sizes": lambda s, d: retention.cohort_sizes(_journey(s, d)),
     "cohort_retention": _retention,
-    "cohort_heatmap": lambda s, d: retention.cohort_heatmap(materialise(_retention(s, d), "retention")),
+    "cohort_heatmap": lambda s, d: retention.cohort_heatmap(_retention(s, d), HEATMAP_MONTHS),
     "repeat_summary": lambda s, d: retention.repeat_summary(_journey(s, d), HORIZONS),
     "monthly_repeat_mix": lambda s, d: retention.monthly_repeat_mix(_sessions(s, d)),
     "days_to_second_hist": lambda s, d: retention.days_to_second_hist(_journey(s, d), limit=DAYS_LIMIT),

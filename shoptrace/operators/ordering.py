@@ -2,7 +2,8 @@
 
 * ``global_positions`` numbers rows through range partitions; nothing but one count per partition is brought together.
 * ``with_cumulative`` runs sums over a table of distinct values in blocks whose number is bounded by the double format.
-* ``smallest_by_hash`` finds the k smallest hashes through a histogram of hash prefixes.
+* ``rows_at_ranks`` finds the rows at given ranks by counting rows per range, finer with each pass; ``with_ntiles`` and
+  ``first_rows`` need nothing else.
 
 There is one path for every size, and sort keys keep their own types.
 """
@@ -10,16 +11,19 @@ There is one path for every size, and sort keys keep their own types.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType, IntegralType, LongType
 
+from shoptrace.functions.rules import as_col
 from shoptrace.sources.tables import materialise
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in its low 33 bits
 _BLOCKS_PER_DOUBLING = 64
 _HASH_HEX = 16
-_PREFIX_HEX = 4
 
 
 def global_positions(df: DataFrame, order: Sequence[Column]) -> DataFrame:
@@ -45,55 +49,156 @@ def global_positions(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     )
 
 
-def first_rows(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
-    """The first k rows of the order, in that order, also for a k too large for a top-k in one task; the result stays distributed."""
-    return global_positions(df, order).where(F.col("position") < k).orderBy("position").drop("position")
+def first_rows(df: DataFrame, key: Column, unique: str, k: int) -> DataFrame:
+    """The first k rows by ``key``, then ``unique``, in that order. Only they are sorted: the k-th is found by ``rows_at_ranks``."""
+    n = df.count()
+    if k <= 0:
+        return df.limit(0)
+    near = df
+    if k < n:
+        last = rows_at_ranks(df, {"key": key}, unique, {"key": [k - 1]})["key"][0]
+        near = df.where(~_beyond(key, unique, last))
+    return near.orderBy(key, unique)
 
 
 def with_ntiles(df: DataFrame, tiles: Mapping[str, Column], unique: str, k: int) -> DataFrame:
     """Add one NTILE(k) column per entry of ``tiles`` (name -> key, ascending; ties broken by ``unique``).
 
-    ``df`` should be a written table: it is read for the cut points and again for the result. All keys are ranked in one
-    narrow range-partitioned pass; the k-1 cut rows per key then come back as one row, and the tile of a row follows from
-    comparing it with the cuts. The table itself is never shuffled.
+    ``df`` should be a written table: it is counted, read a few times for the last row of each tile, and again for the result, in which
+    the tile of a row follows from comparing it with these rows. The table is neither shuffled nor written.
     """
-    names = list(tiles)
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("kind"),
-                *[(tiles[n] if n == name else F.nullif(tiles[n], tiles[n])).alias(f"key_{n}") for n in names],
-                F.col(unique).alias("id"),
-            )
-            for i, name in enumerate(names)
-        ]
-    )
-    narrow = df.select(F.explode(entries).alias("e")).select("e.*")
-    ranked = global_positions(narrow, [F.col("kind"), *[F.col(f"key_{n}") for n in names], F.col("id")])
-
-    rows = df.agg(F.count(F.lit(1)).alias("rows")).scalar()
-    placed = ranked.withColumn("n", rows).withColumn("place", F.col("position") - F.col("kind") * F.col("n"))
-    size, extra = F.expr(f"n div {int(k)}"), F.col("n") % k
-    last_row = F.lit(False)
-    for tile in range(1, k):
-        last_row = last_row | (F.col("place") == size * tile + F.least(F.lit(tile), extra) - 1)
-    cut_rows = placed.where(last_row).agg(
-        F.struct(
-            *[
-                F.collect_list(F.when(F.col("kind") == kind, F.struct(F.col(f"key_{name}").alias("key"), "id"))).alias(name)
-                for kind, name in enumerate(names)
-            ]
-        ).alias("cuts")
-    )
-    out = df.withColumn("_cuts", cut_rows.scalar())
-    for name in names:
-        here = F.struct(tiles[name].alias("key"), F.col(unique).alias("id"))
-        out = out.withColumn(name, (_cuts_below(F.col(f"_cuts.{name}"), here) + 1).cast("bigint"))
-    return out.drop("_cuts")
+    n = df.count()
+    size, extra = divmod(n, k)
+    ends = sorted({size * t + min(t, extra) - 1 for t in range(1, k)} & set(range(n)))
+    if not ends:
+        return df.withColumns({name: F.lit(1).cast("bigint") for name in tiles})
+    lasts = rows_at_ranks(df, tiles, unique, {name: ends for name in tiles})
+    beyond = {name: sum((_beyond(tiles[name], unique, last).cast("bigint") for last in lasts[name]), F.lit(1).cast("bigint")) for name in tiles}
+    return df.withColumns(beyond)
+
+
+def _beyond(key: Column, unique: str, row: tuple) -> Column:
+    """Whether a row comes after ``row`` = (key, unique)."""
+    return (key > row[0]) | ((key == row[0]) & (F.col(unique) > row[1]))
 
 
-def _cuts_below(cuts: Column, here: Column) -> Column:
-    return F.size(F.filter(cuts, lambda cut: here > cut))
+#: Rows of one range that a task may sort, and the sub-ranges that a larger one is cut into.
+SETTLED, SUBRANGES = 100_000, 65_536
+
+
+def rows_at_ranks(df: DataFrame, keys: Mapping[str, Column], unique: str, ranks: Mapping[str, Sequence[int]]) -> dict[str, list[tuple]]:
+    """(key, unique) of the rows at the given 0-based ranks, per key, the order being (key, unique).
+
+    No sort of the table: rows are counted per range of the key, which tells the range a rank lies in; that range is cut finer,
+    and so on, all keys and ranks in the same pass, until it holds few enough rows to be sorted (``SETTLED``) or one key alone. Rows of one
+    key are then told apart by ranges of ``unique`` in the same way. A pass reads ``df`` and sends one count per range and task.
+
+    Keys and ``unique`` are numbers (not decimals) and not NULL; a NULL raises. Ranges start as ``value_block``, of some 1% of a value.
+    """
+    parts = {name: [_number(df, key), _number(df, F.col(unique))] for name, key in keys.items()}
+    open_ = {(name, rank): _Range(name, rank) for name, wanted in ranks.items() for rank in wanted}
+    done: dict[tuple[str, int], tuple] = {}
+    while open_:
+        settled = {at: r for at, r in open_.items() if r.rows is not None and r.rows <= SETTLED}
+        if settled:
+            done |= _sorted_out(df, parts, settled)
+            open_ = {at: r for at, r in open_.items() if at not in settled}
+            continue
+        open_ = _finer(df, parts, open_)
+        for at, r in list(open_.items()):
+            if r.known is not None:  # copies of one row
+                done[at] = r.known
+                del open_[at]
+    return {name: [done[(name, rank)] for rank in wanted] for name, wanted in ranks.items()}
+
+
+@dataclass(frozen=True)
+class _Range:
+    """Where a rank lies: part 0 is the key, 1 the unique column (then ``key`` is given); ``rank`` counts inside the range."""
+
+    name: str
+    rank: int
+    part: int = 0
+    key: int | float | None = None
+    low: int | float | None = None
+    high: int | float | None = None
+    rows: int | None = None
+    known: tuple | None = None
+
+    def inside(self, parts: Sequence[Column]) -> Column:
+        here = parts[self.part]
+        bounds = F.lit(True) if self.low is None else here.between(F.lit(self.low), F.lit(self.high))
+        return bounds if self.part == 0 else (parts[0] == F.lit(self.key)) & bounds
+
+    def subrange(self, parts: Sequence[Column]) -> Column:
+        here = parts[self.part]
+        if self.low is None:
+            return value_block(here)
+        if isinstance(self.low, int):
+            return F.floor((here - self.low) / F.lit(float((self.high - self.low) // SUBRANGES + 1))).cast("bigint")
+        return F.least(F.floor((here - self.low) / (self.high - self.low) * SUBRANGES), F.lit(SUBRANGES - 1)).cast("bigint")
+
+    def narrowed(self, rank: int, rows: int, low, high) -> _Range:
+        if low != high:
+            return _Range(self.name, rank, self.part, self.key, low, high, rows)
+        if self.part == 0:  # one key; its rows, if many, are told apart by the unique column
+            return _Range(self.name, rank, 1, low, rows=rows)
+        return _Range(self.name, rank, 1, self.key, low, high, rows, (self.key, low))
+
+
+def _number(df: DataFrame, key: Column) -> Column:
+    """The key in its own type, as BIGINT or DOUBLE."""
+    kind = df.select(key.alias("k")).schema["k"].dataType
+    if not isinstance(kind, (IntegralType, DoubleType, FloatType)):
+        raise TypeError(f"rows are ranked by numbers, not {kind.simpleString()}")
+    given = F.when(key.isNull(), F.raise_error(F.lit("rows are ranked by keys that are not NULL")).cast(kind)).otherwise(key)
+    return given.cast("bigint" if isinstance(kind, IntegralType) else "double")
+
+
+def _finer(df: DataFrame, parts: Mapping[str, Sequence[Column]], open_: dict) -> dict:
+    """Each open rank with the sub-range it lies in."""
+    ranges = list({(r.name, r.part, r.key, r.low, r.high): r for r in open_.values()}.values())
+    number = {(r.name, r.part, r.key, r.low, r.high): i for i, r in enumerate(ranges)}
+    entries = []
+    for i, r in enumerate(ranges):
+        here, whole = parts[r.name][r.part], isinstance(_kind(df, parts[r.name][r.part]), LongType)
+        as_long, as_double = (here if whole else F.lit(None)).cast("bigint"), (F.lit(None) if whole else here).cast("double")
+        entry = F.struct(F.lit(i).alias("range"), r.subrange(parts[r.name]).alias("sub"), as_long.alias("i"), as_double.alias("f"))
+        entries.append(F.when(r.inside(parts[r.name]), entry))
+    rows = df.select(F.explode(F.array(*entries)).alias("e")).where("e IS NOT NULL").select("e.*")
+    ends = [f(c).alias(f"{name}_{c}") for c in ("i", "f") for name, f in (("low", F.min), ("high", F.max))]
+    counted = rows.groupBy("range", "sub").agg(F.count(F.lit(1)).alias("n"), *ends)
+    before = Window.partitionBy("range").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counted.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    ranks = {at: (number[(r.name, r.part, r.key, r.low, r.high)], r.rank) for at, r in open_.items()}
+    holds = [(F.col("range") == i) & (F.col("before") <= rank) & (F.col("before") + F.col("n") > rank) for i, rank in set(ranks.values())]
+    found = placed.where(reduce(Column.__or__, holds)).collect()  # at most one row per rank
+    out = {}
+    for at, (i, rank) in ranks.items():
+        row = next(x for x in found if x["range"] == i and x["before"] <= rank < x["before"] + x["n"])
+        low, high = (row["low_i"], row["high_i"]) if row["low_i"] is not None else (row["low_f"], row["high_f"])
+        out[at] = open_[at].narrowed(rank - row["before"], row["n"], low, high)
+    return out
+
+
+def _kind(df: DataFrame, column: Column):
+    return df.select(column.alias("k")).schema["k"].dataType
+
+
+def _sorted_out(df: DataFrame, parts: Mapping[str, Sequence[Column]], settled: dict) -> dict:
+    """The rows at the ranks of small ranges; each range is sorted by a task of its own."""
+    numbered = list(settled.items())
+    done = {}
+    for name in {r.name for r in settled.values()}:
+        own = [(i, r) for i, (_, r) in enumerate(numbered) if r.name == name]
+        key, unique = parts[name]
+        each = F.array(*[F.when(r.inside(parts[name]), F.lit(i)) for i, r in own])
+        rows = df.select(F.explode(each).alias("range"), key.alias("key"), unique.alias("id")).where(F.col("range").isNotNull())
+        ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("range").orderBy("key", "id")) - 1)
+        wanted = [(F.col("range") == i) & (F.col("rank") == r.rank) for i, r in own]
+        for row in ranked.where(reduce(Column.__or__, wanted)).collect():
+            done[numbered[row["range"]][0]] = (row["key"], row["id"])
+    return done
 
 
 def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -101,12 +206,12 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame
     return df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
 
 
-def value_block(value: str) -> Column:
+def value_block(value: Column | str) -> Column:
     """A monotone block number for a double.
 
     At most 131,072 blocks exist. A block spans about 1% of its values, so for amounts in cents it holds few distinct ones.
     """
-    v = F.col(value).cast("double")
+    v = as_col(value).cast("double")
     return (F.signum(v) * F.floor(F.log2(F.abs(v) + 1.0) * _BLOCKS_PER_DOUBLING)).cast("bigint")
 
 
@@ -178,17 +283,3 @@ def histogram(counts: DataFrame, value: str, bins: int) -> DataFrame:
 def hash_text(value: Column) -> Column:
     """A uniform 64-bit hash as 16 hexadecimal digits, whose text order is its numeric order."""
     return F.substring(F.sha2(value.cast("string"), 256), 1, _HASH_HEX)
-
-
-def smallest_by_hash(hashed: DataFrame, k: int, hash_column: str = "h") -> DataFrame:
-    """The k rows with the smallest hashes (all rows when fewer).
-
-    ``hashed`` should be a written table, one row per hash. Prefix counts (at most 65,536 rows) give the prefix that reaches
-    k; only rows up to it, about k of them, are then sorted.
-    """
-    prefix = F.substring(hash_column, 1, _PREFIX_HEX)
-    sizes = hashed.groupBy(prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
-    reached = sizes.select("prefix", F.sum("n").over(Window.orderBy("prefix")).alias("upto"))
-    cut = reached.agg(F.min(F.when(F.col("upto") >= k, F.col("prefix"))).alias("cut")).scalar()
-    near = hashed.where(prefix <= F.coalesce(cut, F.lit("g")))  # "g" sorts after every hexadecimal digit
-    return near.orderBy(hash_column).limit(k)

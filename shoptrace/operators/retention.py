@@ -57,13 +57,15 @@ def cohort_retention(activity: DataFrame, sizes: DataFrame) -> DataFrame:
     )
 
 
-def cohort_heatmap(retention: DataFrame) -> DataFrame:
+def cohort_heatmap(retention: DataFrame, months: Sequence[int] | None = None) -> DataFrame:
     """Cohorts by months since first purchase (columns m0, m1, ...), gaps 0.
 
-    ``retention`` should be a written table: its month numbers, as many as the calendar has, are read first.
+    Without ``months`` the columns are the month numbers that occur, as many as the calendar has; they are read first, so
+    ``retention`` should be a written table.
     """
-    wide = retention.groupBy("cohort_month").pivot("month_number").agg(F.max("retention_pct"))
-    months = sorted((c for c in wide.columns if c != "cohort_month"), key=int)
+    wide = retention.groupBy("cohort_month").pivot("month_number", None if months is None else list(months)).agg(F.max("retention_pct"))
+    if months is None:
+        months = sorted((c for c in wide.columns if c != "cohort_month"), key=int)
     return wide.select(
         "cohort_month", *[F.coalesce(F.col(f"`{m}`"), F.lit(0.0)).alias(f"m{m}") for m in months]
     ).orderBy("cohort_month")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shoptrace.functions.rules import cents, mean_money, money, pct, quantile2
 from shoptrace.operators.ordering import histogram, quantile, value_counts, with_cumulative
-from shoptrace.operators.sampling import sample_by_key
+from shoptrace.operators.sampling import sample_groups
 from shoptrace.sources.tables import materialise
 
 
@@ -150,13 +150,13 @@ def basket_distribution(purchases: DataFrame) -> DataFrame:
 
 
 def session_revenue_sample(purchases: DataFrame, n: int = 200_000, seed: int = 0) -> DataFrame:
-    """Revenue of n sampled sessions, the same ones on every run."""
-    sessions = (
-        purchases.groupBy("user_session")
-        .agg(F.sum(cents("price")).alias("c"))
-        .select("user_session", money("c").alias("session_revenue_proxy"))
-    )
-    return sample_by_key(sessions, "user_session", n, seed)
+    """Revenue of n sampled sessions, the same ones on every run. Only events of drawn sessions are shuffled."""
+
+    def revenues(events: DataFrame) -> DataFrame:
+        summed = events.groupBy("user_session").agg(F.sum(cents("price")).alias("c"))
+        return summed.select("user_session", money("c").alias("session_revenue_proxy"))
+
+    return sample_groups(purchases, "user_session", n, revenues, seed)
 
 
 def session_revenue_histogram(sample: DataFrame, bins: int = 60) -> DataFrame:

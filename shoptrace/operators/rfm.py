@@ -132,4 +132,4 @@ def rfm_focus_customers(
 ) -> DataFrame:
     """The k most valuable customers of the focus segments, as a distributed result."""
     focus = customers.where(F.col("segment").isin(*segments))
-    return first_rows(focus, [F.desc("monetary_value"), F.asc("user_id")], k)
+    return first_rows(focus, -F.col("monetary_value"), "user_id", k)

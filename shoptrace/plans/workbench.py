@@ -39,6 +39,8 @@ class Settings:
     days_limit: int = 60
     sample_sessions: int = 200_000
     focus_customers: int = 60_000
+    #: Rows drawn for the price boxes by month and by brand; None for all rows.
+    box_samples: tuple[int | None, int | None] = (None, None)
 
 
 class Workbench:
@@ -209,8 +211,8 @@ class Workbench:
             "rfm_heatmap": rfm.rfm_heatmap(rfm.rfm_score_grid(self.customers)),
             "rfm_focus_customers": rfm.rfm_focus_customers(self.customers, k=s.focus_customers),
             "conversion_comparison": hypothesis.conversion_comparison(self.funnel, s.focus),
-            "price_box_by_month": hypothesis.price_box_by_month(self.purchases),
-            "price_box_by_brand": hypothesis.price_box_by_brand(self.purchases, s.box_brands),
+            "price_box_by_month": hypothesis.price_box_by_month(self.purchases, s.box_samples[0]),
+            "price_box_by_brand": hypothesis.price_box_by_brand(self.purchases, s.box_brands, s.box_samples[1]),
             "cohort_heatmap": retention.cohort_heatmap(self.retention),
             "days_to_second_hist": retention.days_to_second_hist(self.journey, limit=s.days_limit),
             "cart_top_categories": cart.cart_top_categories(cart.cart_by_category(self.cart_pairs), s.min_pairs),

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import random
 
 import numpy as np
@@ -13,12 +14,12 @@ from shoptrace.operators.ordering import (
     hash_text,
     histogram,
     quantile,
-    smallest_by_hash,
     value_counts,
     with_cumulative,
     with_ntiles,
 )
-from shoptrace.operators.sampling import sample_by_key, sample_n
+from shoptrace.operators import sampling
+from shoptrace.operators.sampling import sample_by_key, sample_groups, sample_n, sample_per_group
 from shoptrace.sources.tables import materialise
 
 
@@ -62,9 +63,42 @@ def test_positions_do_not_meet_in_one_task(spark):
 
 def test_first_rows(spark):
     rows = spark.createDataFrame([(i, i % 7) for i in range(500)], "user int, spend int")
-    got = {(r["spend"], r["user"]) for r in first_rows(rows, [F.desc("spend"), F.asc("user")], 123).collect()}
-    expected = sorted(((i % 7, i) for i in range(500)), key=lambda r: (-r[0], r[1]))[:123]
-    assert got == set(expected)
+    expected = sorted(((i % 7, i) for i in range(500)), key=lambda r: (-r[0], r[1]))
+    for k in (0, 1, 123, 500, 600):
+        got = [(r["spend"], r["user"]) for r in first_rows(rows, -F.col("spend"), "user", k).collect()]
+        assert got == expected[:k]
+
+
+@pytest.mark.parametrize("settled, subranges", [(1, 2), (1, 7), (3, 64), (10**6, 64)])
+def test_rows_at_ranks_by_ever_finer_ranges(spark, monkeypatch, settled, subranges):
+    """Ranges that are cut in two, hot keys, copies of rows, keys that doubles cannot tell apart, far ends of both types."""
+    monkeypatch.setattr(ordering, "SETTLED", settled)
+    monkeypatch.setattr(ordering, "SUBRANGES", subranges)
+    rng = random.Random(settled * subranges)
+    whole = [-(2**62), 2**62, *[2**53 + i for i in range(6)], *[5] * 40, -1, 0, 1]
+    parts = [-1e300, 1e300, 1e-300, 0.1, 0.2, 0.30000000000000004, *[7.25] * 30]
+    rows = [(rng.choice(whole), rng.choice(parts), i * 10**9) for i in range(90)] + [(5, 7.25, 3)] * 4
+    df = materialise(spark.createDataFrame(rows, "k long, v double, id long").repartition(3))
+    wanted = [0, 1, 20, 46, 47, 60, len(rows) - 1]
+    found = ordering.rows_at_ranks(df, {"k": F.col("k"), "v": F.col("v")}, "id", {"k": wanted, "v": wanted})
+    by_k, by_v = sorted((k, i) for k, _, i in rows), sorted((v, i) for _, v, i in rows)
+    assert found == {"k": [by_k[r] for r in wanted], "v": [by_v[r] for r in wanted]}
+
+
+def test_ranks_need_numbers_without_nulls(spark):
+    text = spark.createDataFrame([("a", 1)], "k string, id int")
+    with pytest.raises(TypeError):
+        ordering.rows_at_ranks(text, {"k": F.col("k")}, "id", {"k": [0]})
+    holes = spark.createDataFrame([(1, 1), (None, 2), (3, 3)], "k int, id int")
+    with pytest.raises(Exception, match="not NULL"):
+        ordering.rows_at_ranks(holes, {"k": F.col("k")}, "id", {"k": [0]})
+
+
+def test_ntiles_neither_sort_nor_write_the_table(spark, monkeypatch):
+    users = materialise(spark.range(5000).select(F.col("id"), (F.col("id") % 3).alias("k")))
+    monkeypatch.setattr(ordering, "materialise", None)
+    plan = with_ntiles(users, {"t": F.col("k")}, "id", 5)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
 
 
 @pytest.mark.parametrize("n", [1, 2, 9, 1000])
@@ -103,13 +137,6 @@ def test_histogram_matches_numpy(spark, values):
     assert [r["bin_start"] for r in got] + [got[-1]["bin_end"]] == pytest.approx(list(edges), abs=1e-6)
 
 
-@pytest.mark.parametrize("k", [1, 50, 5000])
-def test_smallest_by_hash(spark, k):
-    hashed = materialise(spark.range(1000).select(hash_text(F.col("id")).alias("h")))
-    everything = sorted(r["h"] for r in hashed.collect())
-    assert sorted(r["h"] for r in smallest_by_hash(hashed, k).collect()) == everything[:k]
-
-
 def test_sample_by_key_does_not_depend_on_layout(spark):
     rows = spark.range(3000).select(F.col("id").cast("string").alias("s"))
     one = {r["s"] for r in sample_by_key(rows.repartition(1), "s", 100, seed=3).collect()}
@@ -145,3 +172,47 @@ def test_sample_does_not_depend_on_layout(spark):
     df = spark.createDataFrame(rows, "a int, b double")
     first, second = (sorted(map(tuple, sample_n(d, 60, 3).collect())) for d in (df.repartition(1), df.repartition(6, "b")))
     assert first == second and len(first) == 60
+
+
+def drawn_by(rows, n, seed, spell):
+    """The rows with the n least hashes, every copy numbered."""
+    copies = {}
+    for r in rows:
+        copies.setdefault(r, []).append(len(copies.get(r, [])) + 1)
+    hashed = [(hashlib.sha256(f"{seed}:{c}:{spell(r)}".encode()).hexdigest()[:16], r) for r, cs in copies.items() for c in cs]
+    return [r for _, r in sorted(hashed, key=lambda x: x[0])[:n]]
+
+
+@pytest.mark.parametrize("chunk", [4, 1 << 20])
+def test_samples_are_the_least_hashes(spark, monkeypatch, chunk):
+    monkeypatch.setattr(sampling, "COPIES", chunk)
+    rows = [(i % 3 if i % 2 else 9, i % 40) for i in range(3000)] + [(None, 1)] * 30 + [(None, 2), (8, 8)]
+    df = spark.createDataFrame(rows, "g int, v int")
+    spelled = F.concat_ws("|", F.coalesce(F.col("g").cast("string"), F.lit("-")), "v")
+    spell = lambda r: f"{'-' if r[0] is None else r[0]}|{r[1]}"
+    assert sorted((tuple(r) for r in sample_n(df, 200, 5, spelled).collect()), key=str) == sorted(drawn_by(rows, 200, 5, spell), key=str)
+    for frame in (df, df.coalesce(1)):
+        got = [tuple(r) for r in sample_per_group(frame, ["g"], 50, 5, spelled).collect()]
+        for g in (0, 1, 2, 9, 8, None):
+            own = [r for r in rows if r[0] == g]
+            assert sorted((r for r in got if r[0] == g), key=str) == sorted(drawn_by(own, 50, 5, spell), key=str)
+    with pytest.raises(ValueError):
+        sample_per_group(df, [], 5)
+
+
+def test_a_bound_that_is_too_low_is_raised(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "_wanted", lambda n: n / 40)
+    rows = spark.range(20_000).select((F.col("id") % 2000).cast("string").alias("s"), (F.col("id") % 5).alias("g"))
+    assert sample_by_key(rows.select("s").distinct(), "s", 300).count() == 300
+    assert sample_n(rows, 500).count() == 500
+    counts = {r["g"]: r["count"] for r in sample_per_group(rows, ["g"], 300).groupBy("g").count().collect()}
+    assert counts == dict.fromkeys(range(5), 300)
+
+
+def test_groups_are_drawn_before_they_are_built(spark):
+    rows = materialise(spark.range(30_000).select((F.col("id") % 4000).cast("string").alias("s"), F.col("id").alias("v")))
+    build = lambda d: d.groupBy("s").agg(F.sum("v").alias("v"))
+    early = sample_groups(rows, "s", 100, build, seed=2).collect()
+    late = sample_by_key(build(rows), "s", 100, seed=2).collect()
+    assert sorted(map(tuple, early)) == sorted(map(tuple, late)) and len(early) == 100
+    assert sample_groups(rows, "s", 9999, build).count() == 4000 and sample_groups(rows.where("false"), "s", 5, build).count() == 0
