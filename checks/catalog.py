@@ -122,6 +122,36 @@ def _incremental_audit(spark, d):
     return audit_store.incremental_audit(spark, paths, store, HIGH_PRICE)
 
 
+def _faulty(spark, d):
+    """The raw log as text, with prices and users that are no numbers."""
+    return raw_events(spark, d).selectExpr(
+        "* EXCEPT (price, user_id, product_id, category_id)",
+        "cast(product_id AS string) AS product_id",
+        "cast(category_id AS string) AS category_id",
+        "CASE WHEN product_id % 7 = 3 THEN 'n/a' WHEN product_id % 7 = 4 THEN ' ' ELSE cast(price AS string) END AS price",
+        "CASE WHEN user_id % 11 = 5 THEN concat('u', user_id) ELSE concat(user_id, ' ') END AS user_id",
+    )
+
+
+def _rejected(spark, d):
+    rejects = prepare.split_events(_faulty(spark, d))[1]
+    return rejects.select("event_time", "product_id", "price", "user_id", "src", "reject_reason")
+
+
+def _sound(spark, d):
+    return prepare.split_events(_faulty(spark, d))[0]
+
+
+def _folded_sessions(spark, d):
+    """Session states stored per half-year, the first half-years written again, then merged; yearly sessions lie in two of them."""
+    path = new_path(spark, "session-states")
+    half = F.concat(F.year("event_date"), F.when(F.month("event_date") <= 6, "a").otherwise("b")).alias("part")
+    states = prepare.session_state(_buys(spark, d), half)
+    source.write_parts(states, path, "part")
+    source.write_parts(states.where("part < '1994'"), path, "part")
+    return prepare.merged_sessions(spark.read.parquet(path))
+
+
 def _profile(spark, d):
     return audit.profile(audit.file_records(raw_events(spark, d), HIGH_PRICE))
 
@@ -183,6 +213,13 @@ QUERIES: dict[str, Query] = {
     "customer_purchase_sessions": _sessions,
     "customer_journey": _journey,
     "rfm_customer": _customers,
+    "customer_sessions_folded": lambda s, d: prepare.sessions_from_state(_folded_sessions(s, d)),
+    "customer_journey_folded": lambda s, d: prepare.journey(
+        materialise(prepare.sessions_from_state(_folded_sessions(s, d)), "sessions")
+    ),
+    "rfm_customer_folded": lambda s, d: rfm.rfm_from_state(_folded_sessions(s, d)),
+    "rejected_events": _rejected,
+    "sound_events": _sound,
     "has_column": _has_column,
     "write_result": _written_trend,
     # audit
@@ -190,6 +227,7 @@ QUERIES: dict[str, Query] = {
     "audit_event_mix": lambda s, d: audit.audit_event_mix(raw_events(s, d)),
     "audit_missing": lambda s, d: audit.audit_missing(raw_events(s, d)),
     "audit_price_checks": lambda s, d: audit.audit_price_checks(raw_events(s, d), high=HIGH_PRICE),
+    "audit_rejects": lambda s, d: audit.audit_rejects(_faulty(s, d)),
     "audit_top_prices": lambda s, d: audit.audit_top_prices(raw_events(s, d)),
     "audit_top_prices_combined": lambda s, d: audit.audit_top_prices_combined(audit.audit_top_prices(raw_events(s, d))),
     "approx_distinct_kmv": lambda s, d: audit.kmv_distinct(raw_events(s, d), "price", KMV_SIZE),

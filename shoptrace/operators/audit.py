@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from shoptrace.functions.rules import is_blank, pct, strip
 from shoptrace.operators.ordering import hash_text
+from shoptrace.operators.prepare import TYPES, is_malformed
+from shoptrace.sources.events import CORRUPT, has_column
 from shoptrace.sources.tables import materialise
 
 PER_FILE = ("src",)
@@ -29,8 +31,8 @@ def _filled(name: str) -> Column:
     return F.when(~is_blank(name), strip(name))
 
 
-def _price() -> Column:
-    return _filled("price").cast("double")
+def _price(strict: bool = True) -> Column:
+    return _filled("price").cast("double") if strict else _filled("price").try_cast("double")
 
 
 def kmv_hashes(
@@ -88,8 +90,8 @@ DISTINCT = {"user_id": "distinct_users", "user_session": "distinct_sessions"}
 CHECKS = ("zero_price", "negative_price", "high_price")
 
 
-def _counters(high: float) -> list[Column]:
-    price = _price()
+def _counters(high: float, strict: bool = True) -> list[Column]:
+    price = _price(strict)
     checks = (price == 0, price < 0, price > high)
     return [F.count(F.lit(1)).alias("row_count"), *[F.count_if(c).alias(name) for name, c in zip(CHECKS, checks, strict=True)]]
 
@@ -120,14 +122,15 @@ def _folds(columns: Sequence[str]) -> list[Column]:
     return out
 
 
-def file_records(raw: DataFrame, high: float = HIGH_PRICE) -> DataFrame:
+def file_records(raw: DataFrame, high: float = HIGH_PRICE, strict: bool = True) -> DataFrame:
     """All that the profile of a log needs, one small row per file and event type, from one pass over the log.
 
     Rows, event time extremes, blanks per column (``missing_<column>``), price checks, and a mergeable sketch each of users and
     sessions. The functions below read such records, written or not, of any number of files.
+    A price that is no number raises; without ``strict`` it passes no check (``audit_rejects`` counts it).
     """
     blanks = [F.count_if(is_blank(c)).alias(f"missing_{c}") for c in raw.columns if c not in PER_FILE]
-    return raw.groupBy("src", strip("event_type").alias("event_type")).agg(*_counters(high), *_times(), *blanks, *_sketches(list(DISTINCT)))
+    return raw.groupBy("src", strip("event_type").alias("event_type")).agg(*_counters(high, strict), *_times(), *blanks, *_sketches(list(DISTINCT)))
 
 
 def folded(records: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -196,9 +199,18 @@ def _blanks(wide: DataFrame, by: Sequence[str], names: Sequence[str]) -> DataFra
     )
 
 
-def audit_price_checks(raw: DataFrame, by: Sequence[str] = PER_FILE, high: float = HIGH_PRICE) -> DataFrame:
-    """Zero, negative and suspiciously high prices."""
-    price = _price()
+def audit_rejects(raw: DataFrame, by: Sequence[str] = PER_FILE) -> DataFrame:
+    """Malformed values per column (``prepare.is_malformed``) and whole lines (``line``), most first, and their share of the rows."""
+    reasons = {c: is_malformed(c) for c in TYPES}
+    if has_column(raw, CORRUPT):
+        reasons["line"] = F.col(CORRUPT).isNotNull()
+    wide = raw.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"), *[F.count_if(bad).alias(c) for c, bad in reasons.items()])
+    return _blanks(wide, by, list(reasons)).withColumnsRenamed({"missing": "malformed", "missing_pct": "malformed_pct"})
+
+
+def audit_price_checks(raw: DataFrame, by: Sequence[str] = PER_FILE, high: float = HIGH_PRICE, strict: bool = True) -> DataFrame:
+    """Zero, negative and suspiciously high prices. A price that is no number raises; without ``strict`` it is none of these."""
+    price = _price(strict)
     return raw.groupBy(*by).agg(
         F.count_if(price == 0).alias("zero_price"),
         F.count_if(price < 0).alias("negative_price"),
@@ -277,9 +289,9 @@ def merged_estimates(sketches: DataFrame, columns: Sequence[str] = ("user_id", "
     return merged.select(F.inline(F.array(*each)))
 
 
-def audit_combined(raw: DataFrame, high: float = HIGH_PRICE) -> DataFrame:
+def audit_combined(raw: DataFrame, high: float = HIGH_PRICE, strict: bool = True) -> DataFrame:
     """Per-file records folded into one: counts add, extremes fold, sketches merge; one pass over the log."""
-    return combined(raw.groupBy("src").agg(*_counters(high), *_times(), *_sketches(list(DISTINCT))))
+    return combined(raw.groupBy("src").agg(*_counters(high, strict), *_times(), *_sketches(list(DISTINCT))))
 
 
 def combined(records: DataFrame) -> DataFrame:

@@ -12,30 +12,68 @@ from shoptrace.functions.rules import (
     blank_to_null,
     cents,
     days_between,
+    is_blank,
     money,
     month_of,
+    strip,
 )
+from shoptrace.sources.events import CORRUPT, has_column
 
 STAGES = ("view", "cart", "purchase")
 PRICE_BANDS = (50, 150, 300, 600, 1000)
 
 
-def clean_events(raw: DataFrame) -> DataFrame:
-    """Typed events, no row dropped. Casts are strict: malformed values raise, NULL stays NULL."""
+# Columns of a raw log that are not text.
+TYPES = {"event_time": "timestamp_ntz", "product_id": "bigint", "category_id": "bigint", "price": "double", "user_id": "bigint"}
+
+
+def clean_events(raw: DataFrame, strict: bool = True) -> DataFrame:
+    """Typed events, no row dropped. Casts are strict: malformed values raise, NULL stays NULL.
+
+    Without ``strict`` a value that is blank or malformed becomes NULL; ``split_events`` tells malformed ones apart.
+    """
+    typed = {c: F.col(c).cast(kind) if strict else _tried(c) for c, kind in TYPES.items()}
     return raw.select(
-        F.col("event_time").cast("timestamp_ntz").alias("event_ts"),
+        typed["event_time"].alias("event_ts"),
         "event_time",
         F.lower(F.trim("event_type")).alias("event_type"),
-        F.col("product_id").cast("bigint").alias("product_id"),
-        F.col("category_id").cast("bigint").alias("category_id"),
+        typed["product_id"].alias("product_id"),
+        typed["category_id"].alias("category_id"),
         blank_to_null("category_code").alias("category_code"),
         blank_to_null("brand").alias("brand"),
-        F.col("price").cast("double").alias("price"),
-        F.col("user_id").cast("bigint").alias("user_id"),
+        typed["price"].alias("price"),
+        typed["user_id"].alias("user_id"),
         blank_to_null("user_session").alias("user_session"),
     )
 
 
+def _tried(name: str) -> Column:
+    return strip(name).try_cast(TYPES[name])
+
+
+def is_malformed(name: str) -> Column:
+    """Text that is there but is no value of the column's type."""
+    return ~is_blank(name) & _tried(name).isNull()
+
+
+def reject_reason(raw: DataFrame) -> Column:
+    """The columns of a row that are malformed, in their order and comma-separated; NULL for a sound row.
+
+    A line that does not fit the header (``read_events(..., keep_corrupt=True)``) has the reason ``line``.
+    """
+    reasons = [F.when(is_malformed(c), c) for c in TYPES]
+    if has_column(raw, CORRUPT):
+        reasons.insert(0, F.when(F.col(CORRUPT).isNotNull(), "line"))
+    return F.nullif(F.concat_ws(",", *reasons), F.lit(""))
+
+
+def split_events(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Typed events of the sound rows, and the rows kept aside with their ``reject_reason``. Together they are all rows of ``raw``."""
+    judged = raw.withColumn("reject_reason", reject_reason(raw))
+    sound = judged.where(F.col("reject_reason").isNull()).drop("reject_reason")
+    return clean_events(sound, strict=False), judged.where(F.col("reject_reason").isNotNull())
+
+
 def _label(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(UNKNOWN)).alias(name)
 
@@ -208,6 +246,31 @@ def purchase_sessions(purchase_events: DataFrame) -> DataFrame:
     )
 
 
+def session_state(purchase_events: DataFrame, *by: Column | str) -> DataFrame:
+    """What a part of the log adds to each (user, session): first and last date, events, cents. States of several parts merge."""
+    return purchase_events.groupBy(*by, "user_id", "user_session").agg(
+        F.min("event_date").alias("first_date"),
+        F.max("event_date").alias("last_date"),
+        F.count(F.lit(1)).alias("events"),
+        F.sum(cents("price")).alias("cents"),
+    )
+
+
+def merged_sessions(states: DataFrame) -> DataFrame:
+    """One state per (user, session) from states of any parts; a session may have events in several."""
+    return states.groupBy("user_id", "user_session").agg(
+        F.min("first_date").alias("first_date"),
+        F.max("last_date").alias("last_date"),
+        F.sum("events").alias("events"),
+        F.sum("cents").alias("cents"),
+    )
+
+
+def sessions_from_state(merged: DataFrame) -> DataFrame:
+    """``purchase_sessions`` without the log."""
+    return merged.select("user_id", "user_session", F.col("first_date").alias("session_date"), money("cents").alias("session_value"))
+
+
 def journey(sessions: DataFrame, observed_until: Column | None = None) -> DataFrame:
     """First, second and last purchase, cohort, repeat flag and observed days per user.
 

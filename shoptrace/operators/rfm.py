@@ -43,16 +43,30 @@ def rfm_base(purchases: DataFrame, as_of: Column | None = None) -> DataFrame:
     Recency counts to the day after the last purchase of anyone (or after ``as_of``), so the least is 1.
     """
     total = F.sum(cents("price"))
-    users = materialise(
-        purchases.groupBy("user_id").agg(
-            F.count_distinct("user_session").alias("frequency_orders_proxy"),
-            F.count(F.lit(1)).alias("purchase_events"),
-            money(total).alias("monetary_value"),
-            mean_money(total, F.count(F.lit(1))).alias("avg_purchase_price"),
-            F.max("event_date").alias("last_purchase_date"),
-        ),
-        "rfm-users",
+    users = purchases.groupBy("user_id").agg(
+        F.count_distinct("user_session").alias("frequency_orders_proxy"),
+        F.count(F.lit(1)).alias("purchase_events"),
+        money(total).alias("monetary_value"),
+        mean_money(total, F.count(F.lit(1))).alias("avg_purchase_price"),
+        F.max("event_date").alias("last_purchase_date"),
     )
+    return _with_recency(users, as_of)
+
+
+def rfm_base_from_state(merged: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """``rfm_base`` from ``prepare.merged_sessions``, without the log."""
+    users = merged.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("frequency_orders_proxy"),
+        F.sum("events").alias("purchase_events"),
+        money(F.sum("cents")).alias("monetary_value"),
+        mean_money(F.sum("cents"), F.sum("events")).alias("avg_purchase_price"),
+        F.max("last_date").alias("last_purchase_date"),
+    )
+    return _with_recency(users, as_of)
+
+
+def _with_recency(users: DataFrame, as_of: Column | None) -> DataFrame:
+    users = materialise(users, "rfm-users")
     if as_of is None:
         as_of = users.agg(F.max("last_purchase_date").alias("d")).scalar()
     return users.withColumn("recency_days", days_between("last_purchase_date", F.date_add(as_of, 1)))
@@ -89,6 +103,11 @@ def rfm(purchases: DataFrame, k: int = SCORES) -> DataFrame:
     return rfm_segments(rfm_scores(rfm_base(purchases), k))
 
 
+def rfm_from_state(merged: DataFrame, k: int = SCORES) -> DataFrame:
+    """The customer table from stored session states."""
+    return rfm_segments(rfm_scores(rfm_base_from_state(merged), k))
+
+
 def rfm_segment_summary(customers: DataFrame) -> DataFrame:
     """Customers, revenue, shares and averages per segment. The share windows see one row per segment."""
     grouped = customers.groupBy("segment").agg(

@@ -1,14 +1,16 @@
 from __future__ import annotations
 
+import random
 from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from shoptrace.functions.rules import cents
-from shoptrace.operators import cart, funnel, prepare
+from shoptrace.operators import audit, cart, funnel, prepare, rfm
 from shoptrace.operators.prepare import clean_events, funnel_events, session_product_funnel
-from shoptrace.sources.events import read_events
+from shoptrace.sources.events import read_events, write_result
+from shoptrace.sources.tables import materialise
 
 T1, T2, NOV = "2019-10-01 10:00:00 UTC", "2019-10-02 10:00:00 UTC", "2019-11-03 00:00:00 UTC"
 
@@ -211,3 +213,75 @@ def test_the_log_is_folded_by_hashing(spark, make_raw):
     plan = session_product_funnel(events)._jdf.queryExecution().executedPlan().toString()
     lowest = plan[plan.rindex("Aggregate") - 12 :]
     assert lowest.lstrip("( ").split("Aggregate")[0].endswith("Hash")
+
+
+def test_malformed_values_are_kept_aside(make_raw):
+    rows = [
+        ("2019-10-01 10:00:00 UTC", "view", "1", "tv", "a", "1.5", "7", "s", "x"),
+        ("2019-10-01", "view", "2", "tv", "a", "n/a", "7", "s", "x"),
+        ("soon", "view", "3", "tv", "a", "2", "u7", "s", "x"),
+        ("2019-10-02", "view", "4", "tv", "a", "  ", None, "s", "x"),
+        ("2019-10-02", "view", "99999999999999999999", "tv", "a", "3", "8", "s", "x"),
+    ]
+    raw = make_raw(rows)
+    sound, rejects = prepare.split_events(raw)
+    assert sorted((r["product_id"], r["price"], r["user_id"]) for r in sound.collect()) == [(1, 1.5, 7), (4, None, None)]
+    found = {r["product_id"]: r["reject_reason"] for r in rejects.collect()}
+    assert found == {"2": "price", "3": "event_time,user_id", "99999999999999999999": "product_id"}
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        prepare.clean_events(raw).collect()
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        audit.audit_price_checks(raw).collect()
+    counts = {r["column_name"]: r["malformed"] for r in audit.audit_rejects(raw).collect()}
+    assert counts == {"event_time": 1, "product_id": 1, "category_id": 0, "price": 1, "user_id": 1}
+    lenient = audit.audit_combined(raw, strict=False).first()
+    assert (lenient["row_count"], lenient["zero_price"], lenient["high_price"]) == (5, 0, 0)
+    assert audit.combined(audit.file_records(raw, strict=False)).first() == lenient
+    assert prepare.split_events(raw.where("false"))[1].count() == 0
+
+
+def test_lines_that_do_not_fit_the_header(spark, tmp_path):
+    (tmp_path / "log.csv").write_text("event_type,price,brand\nview,1,a\ncart,2\nview,3,b,c\n")
+    raw = read_events(spark, [str(tmp_path)], keep_corrupt=True)
+    rejects = prepare.split_events(raw)[1].select("_corrupt_record", "reject_reason").collect()
+    assert sorted(map(tuple, rejects)) == [("cart,2", "line"), ("view,3,b,c", "line")]
+    assert {r["column_name"]: r["malformed"] for r in audit.audit_rejects(raw).collect()}["line"] == 2
+
+
+def test_states_of_parts_merge_to_the_full_run(spark, make_raw):
+    rng = random.Random(4)
+    rows = [
+        (f"2019-{rng.choice([10, 11])}-{rng.randint(1, 28):02d}", "purchase", str(rng.randint(1, 5)), "tv", "a", f"{rng.randint(1, 900) / 100}",
+         str(u), f"{u}-{rng.randint(1, 3)}", "x")
+        for u in [rng.choice([1, 1, rng.randint(2, 30)]) for _ in range(400)]
+    ]
+    buys = materialise(prepare.purchases(prepare.clean_events(make_raw(rows))))
+    months = [prepare.session_state(buys.where(F.month("event_date") == m)) for m in (10, 11)]
+    merged = materialise(prepare.merged_sessions(months[0].unionByName(months[1])))
+    assert sum(m.count() for m in months) > merged.count()  # sessions with events in both
+    sessions = materialise(prepare.purchase_sessions(buys))
+    same = lambda a, b: sorted(map(str, a.select(sorted(a.columns)).collect())) == sorted(map(str, b.select(sorted(b.columns)).collect()))
+    assert same(prepare.sessions_from_state(merged), sessions)
+    assert same(rfm.rfm_from_state(merged), rfm.rfm(buys))
+    thrice = prepare.merged_sessions(prepare.merged_sessions(months[0]).unionByName(months[1]))
+    assert same(thrice, merged)
+
+
+def test_only_rewritten_parts_of_a_result_change(spark, tmp_path):
+    rows = [(m, i) for m in ("2019-10", "2019-11", "2019-12") for i in range(20)]
+    df = spark.createDataFrame(rows, "month string, v int")
+    for fmt in ("parquet", "csv"):
+        path = tmp_path / fmt
+        write_result(df, str(path), fmt, "month")
+        bytes_of = lambda: {p.relative_to(path): p.read_bytes() for p in path.rglob("part-*")}
+        before = bytes_of()
+        again = df.where("month = '2019-11'").withColumn("v", F.col("v") + 100)
+        for _ in range(2):  # repeatable
+            write_result(again, str(path), fmt, "month")
+        after = bytes_of()
+        kept = {p for p in before if "2019-11" not in str(p)}
+        assert {p: after[p] for p in kept} == {p: before[p] for p in kept}
+        assert sum("2019-11" in str(p) for p in after) >= 1
+        reader = spark.read.option("header", True).option("inferSchema", True)
+        read = getattr(reader, fmt)(str(path))
+        assert read.count() == 60 and read.where("v >= 100").count() == 20
