@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from checks.fixtures import raw_events, raw_purchases
 from shoptrace.functions import rules
-from shoptrace.operators import audit, audit_store, cart, funnel, hypothesis, kpi, prepare, retention, revenue, rfm, sampling
+from shoptrace.operators import audit, audit_store, cart, funnel, hypothesis, kpi, prepare, quantile_sketch, retention, revenue, rfm, sampling
 from shoptrace.sources import events as source
-from shoptrace.sources.tables import materialise, new_path
+from shoptrace.sources.tables import materialise, new_path, written_bucketed
 
 # Parameters of the fixture runs (defaults are the published ones).
 MIN_VIEWS = 1
@@ -30,6 +30,7 @@ BOX_BRANDS = ("Brand#2", "Brand#4", "Brand#17")
 MONTHS = ("1998-10-01", "1998-11-01")
 COHORT = "1995-12-01"
 HEATMAP_MONTHS = range(84)
+FOLD_BUCKETS = 8
 HORIZONS = (90, 365)
 DAYS_LIMIT = 730
 
@@ -60,6 +61,12 @@ def _stored_funnel(spark, d):
     return materialise(_funnel(spark, d), "funnel")
 
 
+def _bucketed_folds(spark, d, typed=_typed_events):
+    """(session, product, month) folds stored in buckets by pair."""
+    folds = prepare.pair_months(prepare.funnel_events(typed(spark, d)))
+    return written_bucketed(folds, "pair-months", prepare.PAIR, FOLD_BUCKETS)[0]
+
+
 def _carts(spark, d):
     return prepare.cart_pairs(prepare.funnel_events(_typed_events(spark, d), require_ts=True))
 
@@ -210,6 +217,8 @@ QUERIES: dict[str, Query] = {
     "retail_events": _funnel_events,
     "funnel_session_product": _funnel,
     "cart_session_product": _carts,
+    "funnel_session_product_stored": lambda s, d: prepare.funnel_from_facts(prepare.facts_from_folds(_bucketed_folds(s, d))),
+    "cart_session_product_stored": lambda s, d: prepare.cart_pairs_from_facts(prepare.facts_from_folds(_bucketed_folds(s, d))),
     "customer_purchase_sessions": _sessions,
     "customer_journey": _journey,
     "rfm_customer": _customers,
@@ -262,6 +271,9 @@ QUERIES: dict[str, Query] = {
     "category_monthly_funnel": lambda s, d: funnel.category_monthly_funnel(
         prepare.funnel_events(_typed_purchases(s, d))
     ),
+    "category_monthly_funnel_stored": lambda s, d: funnel.category_monthly_funnel_from_folds(
+        _bucketed_folds(s, d, _typed_purchases)
+    ),
     "top_conversion_categories": lambda s, d: funnel.top_conversion_categories(
         funnel.category_funnel(_funnel(s, d)), MIN_VIEWS
     ),
@@ -290,6 +302,7 @@ QUERIES: dict[str, Query] = {
     ),
     "conversion_comparison": lambda s, d: hypothesis.conversion_comparison(_funnel(s, d), FOCUS),
     "price_box_by_month": lambda s, d: hypothesis.price_box_by_month(_buys(s, d)),
+    "price_quartiles_sketched": lambda s, d: quantile_sketch.approx_boxes(_buys(s, d), "month_date"),
     "price_box_by_brand": lambda s, d: hypothesis.price_box_by_brand(_buys(s, d), BOX_BRANDS),
     "price_box_sampled_by_month": lambda s, d: hypothesis.price_box_by_month(_buys(s, d), SAMPLE_SIZE),
     "price_box_sampled_by_brand": lambda s, d: hypothesis.price_box_by_brand(_buys(s, d), BOX_BRANDS, SAMPLE_SIZE),

@@ -90,6 +90,15 @@ def category_monthly_funnel(events: DataFrame) -> DataFrame:
     pairs = events.groupBy("event_month", "user_session", "product_id", "category_code").agg(
         F.max(stage_reached()).alias("depth")
     )
+    return _by_month(pairs)
+
+
+def category_monthly_funnel_from_folds(folds: DataFrame) -> DataFrame:
+    """The same from ``prepare.pair_months``; where these are stored bucketed by pair, only counts are shuffled."""
+    return _by_month(folds.groupBy("event_month", "user_session", "product_id", "category_code").agg(F.max("depth").alias("depth")))
+
+
+def _by_month(pairs: DataFrame) -> DataFrame:
     views, carts, buys = (F.count_if(F.col("depth") >= i) for i in (1, 2, 3))
     return (
         pairs.groupBy(F.col("event_month").alias("month_date"), "category_code")

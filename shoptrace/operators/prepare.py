@@ -146,9 +146,25 @@ def session_product_facts(events: DataFrame) -> DataFrame:
     events with a time. Labels are grouping keys at first, so the log is folded by hashing; the least labels are then taken over
     the merged rows, one for most pairs.
     """
+    return facts_from_folds(_folded(events))
+
+
+def pair_months(events: DataFrame) -> DataFrame:
+    """The same fold per month as well: at most one row per (session, product, labels, month), for pair facts and the monthly funnel.
+
+    A pair with a large part of the log shrinks to a few rows in the scan tasks, so the folds can be stored bucketed by pair
+    (``tables.written_bucketed``), which the log itself could not without one huge bucket.
+    """
+    return _folded(events, "event_month")
+
+
+PAIR = ("user_session", "product_id")
+
+
+def _folded(events: DataFrame, *also: str) -> DataFrame:
     timed = F.col("event_ts").isNotNull()
     paid = (F.col("event_type") == "purchase") & (F.col("price") > 0)
-    labelled = events.groupBy("user_session", "product_id", "category_code", "brand").agg(
+    return events.groupBy(*PAIR, "category_code", "brand", *also).agg(
         F.min("user_id").alias("user_id"),
         F.max(stage_reached()).alias("depth"),
         F.coalesce(F.sum(F.when(paid, cents("price"))), F.lit(0)).alias("revenue_cents"),
@@ -158,6 +174,11 @@ def session_product_facts(events: DataFrame) -> DataFrame:
         F.max(F.when(timed & paid, 1).otherwise(0)).alias("timed_purchase"),
         F.max(F.when(timed & (F.col("price") > 0), F.col("price"))).alias("timed_price"),
     )
+
+
+def facts_from_folds(folds: DataFrame) -> DataFrame:
+    """``session_product_facts`` from its folds or from ``pair_months``."""
+    labelled = folds
     at_all = F.col("timed") == 1
     return labelled.groupBy("user_session", "product_id").agg(
         F.min("category_code").alias("category_code"),

@@ -1,7 +1,7 @@
 """All analyses over one event log, sharing the tables they have in common.
 
 Each shared table is computed once, on first use, and written; every report reads the written table. The log itself is scanned
-for the audit's records, for the dearest rows, for the (session, product) facts, and for the purchases.
+for the audit's records, for the dearest rows, for the folds per (session, product, month), and for the purchases.
 
 Without ``folder`` the tables lie in the shared folder and belong to the workbench: ``release`` (or leaving a ``with`` block) deletes
 them, after which nothing built on them can be read. With ``folder`` they are kept there under their names, and a workbench that is
@@ -93,8 +93,13 @@ class Workbench:
 
     @cached_property
     def facts(self) -> DataFrame:
-        """Funnel and cart facts per (session, product): the one wide shuffle of the log."""
-        return self._kept(lambda: prepare.session_product_facts(prepare.funnel_events(self.typed)), "facts")
+        """Funnel and cart facts per (session, product)."""
+        return self._kept(lambda: prepare.facts_from_folds(self.pair_months), "facts")
+
+    @cached_property
+    def pair_months(self) -> DataFrame:
+        """Folds per (session, product, month): the one wide shuffle of the log."""
+        return self._kept(lambda: prepare.pair_months(prepare.funnel_events(self.typed)), "pair-months")
 
     @cached_property
     def funnel(self) -> DataFrame:
@@ -178,7 +183,7 @@ class Workbench:
             "category_funnel_summary": self.category_table,
             "category_mix_summary": self.category_mix,
             "brand_mix_summary": self.brand_mix,
-            "category_monthly_funnel": funnel.category_monthly_funnel(prepare.funnel_events(self.typed)),
+            "category_monthly_funnel": funnel.category_monthly_funnel_from_folds(self.pair_months),
             "category_opportunity_summary": self.opportunity,
             "category_opportunity_detailed": funnel.opportunity_detailed(self.matrix),
             "rfm_customer_segments": self.customers,

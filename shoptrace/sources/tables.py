@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +44,18 @@ def written(df: DataFrame, label: str = "table") -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def written_bucketed(df: DataFrame, label: str, columns: Sequence[str], buckets: int) -> tuple[DataFrame, str]:
+    """``written``, hashed and sorted by ``columns`` into buckets: grouping or joining on these (and more) columns needs no shuffle.
+
+    A bucket is read by one task, so no combination of the columns' values may hold a large part of the rows.
+    """
+    spark = df.sparkSession
+    path, name = new_path(spark, label), f"shoptrace_{uuid.uuid4().hex}"
+    spread = df.repartition(buckets, *columns)  # one file per bucket
+    spread.write.bucketBy(buckets, *columns).sortBy(*columns).option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name), path
+
+
 def release(spark: SparkSession, path: str) -> None:
     """Delete a table of ``written`` that nothing will read again. Only folders below the shared one are accepted."""
     if not path.startswith(f"{shared_folder(spark)}/shoptrace/"):

@@ -10,6 +10,7 @@ from shoptrace.functions.rules import cents
 from shoptrace.operators import audit, cart, funnel, prepare, rfm
 from shoptrace.operators.prepare import clean_events, funnel_events, session_product_funnel
 from shoptrace.sources.events import read_events, write_result
+from shoptrace.sources import tables
 from shoptrace.sources.tables import materialise
 
 T1, T2, NOV = "2019-10-01 10:00:00 UTC", "2019-10-02 10:00:00 UTC", "2019-11-03 00:00:00 UTC"
@@ -285,3 +286,22 @@ def test_only_rewritten_parts_of_a_result_change(spark, tmp_path):
         reader = spark.read.option("header", True).option("inferSchema", True)
         read = getattr(reader, fmt)(str(path))
         assert read.count() == 60 and read.where("v >= 100").count() == 20
+
+
+def test_stored_folds_need_no_shuffle_of_the_log(make_raw):
+    rng = random.Random(8)
+    rows = [
+        (f"2019-{rng.choice([10, 11])}-{rng.randint(1, 28):02d}" if i % 9 else None, rng.choice(["view", "cart", "purchase"]), str(rng.randint(1, 6)),
+         rng.choice(["tv", "tv", "", "shoes"]), "a", f"{rng.randint(-5, 900) / 100}", str(i % 40), "hot" if i % 3 else f"s{i % 50}", "x")
+        for i in range(1500)
+    ]
+    events = funnel_events(clean_events(make_raw(rows)))
+    folds = tables.written_bucketed(prepare.pair_months(events), "pair-months", prepare.PAIR, 4)[0]
+    facts = prepare.facts_from_folds(folds)
+    monthly = funnel.category_monthly_funnel_from_folds(folds)
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert same(facts, prepare.session_product_facts(events)) and same(monthly, funnel.category_monthly_funnel(events))
+    # counts per month and category are shuffled and sorted, pairs are not
+    for table, exchanges in ((prepare.funnel_from_facts(facts), 0), (prepare.cart_pairs_from_facts(facts), 0), (monthly, 2)):
+        plan = table._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+        assert plan.count("Exchange ") == exchanges and "Bucketed: true" in plan
