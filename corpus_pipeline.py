@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,13 +21,18 @@ ORDER = ("in_part", "in_file", "in_row")
 
 
 def in_order(docs: DataFrame) -> DataFrame:
-    """``docs`` with the place of each row: of a written table by file and row, else by part and row. Spark deals files out by size."""
-    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
-        file = F.col("_metadata.file_name")
-        places = (F.regexp_extract(file, r"^part-(\d+)", 1).try_cast("long"), file, F.col("_metadata.row_index"))
-    else:
+    """``doc_id``, ``text`` and the place of each row: of a written table by file and row, else by part and row.
+
+    Spark deals files out by size, so the order of rows is read off the files. Other columns are left out, whatever their names.
+    """
+    try:
+        meta = docs.metadataColumn("_metadata")
+        docs.select(meta)
+        file = meta["file_name"]
+        places = (F.regexp_extract(file, r"^part-(\d+)", 1).try_cast("long"), file, meta["row_index"])
+    except AnalysisException:  # no written table
         places = (F.lit(0), F.lit(""), F.monotonically_increasing_id())
-    return docs.select("*", *(p.alias(c) for p, c in zip(places, ORDER, strict=True)))
+    return docs.select(docs["doc_id"], docs["text"], *(p.alias(c) for p, c in zip(places, ORDER, strict=True)))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
