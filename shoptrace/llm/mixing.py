@@ -35,49 +35,12 @@ from shoptrace.sources.tables import materialise
 #: Slots that one task gives, if the lead of the rarest source allows it, and slots whose blocks it holds at a time.
 SEGMENT_SLOTS = 50_000
 STEP_SLOTS = 1 << 16
-#: Slots and most sources of the fixed patterns of ``shares`` and ``period_pattern``, which ``scheduled`` does not use.
-PERIOD = 1024
-MAX_SOURCES = 512
 BLOCK_DOCUMENTS = 32
 BUCKET_DOCUMENTS = 20_000
 #: Weights follow source sizes to this power unless they are given: 1 keeps the natural mix, 0 makes all sources equal.
 TEMPERATURE = 0.5
 
 
-def shares(weights: Mapping[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
-    """For a caller who wants a fixed pattern: whole slots per period, at least one each, by largest remainders."""
-    if len(weights) > MAX_SOURCES:
-        raise ValueError(f"{len(weights)} sources; group them to at most {MAX_SOURCES}")
-    if any(not w > 0 for w in weights.values()):
-        raise ValueError("every source needs a weight above zero")
-    total, spare = sum(weights.values()), period - len(weights)
-    exact = {s: spare * w / total for s, w in weights.items()}
-    whole = {s: 1 + int(x) for s, x in exact.items()}
-    by_rest = sorted(exact, key=lambda s: (-(exact[s] - int(exact[s])), s is not None, s or ""))
-    for s in by_rest[: period - sum(whole.values())]:
-        whole[s] += 1
-    return whole
-
-
-def period_pattern(parts: Mapping[str | None, int]) -> list[tuple[str | None, int, int]]:
-    """(source, block within the period, slot within the period), earliest deadline first among released blocks."""
-    period = sum(parts.values())
-    waiting = [((j * period) // n, -(-((j + 1) * period) // n), i, s, j) for i, (s, n) in enumerate(parts.items()) for j in range(n)]
-    waiting.sort(key=lambda b: b[0])
-    ready: list[tuple[int, int, int, str | None]] = []
-    out, at = [], 0
-    for slot in range(period):
-        while at < len(waiting) and waiting[at][0] <= slot:
-            _, due, i, source, j = waiting[at]
-            heapq.heappush(ready, (due, i, j, source))
-            at += 1
-        due, _, j, source = heapq.heappop(ready)
-        if due <= slot:
-            raise AssertionError("a block missed its deadline")
-        out.append((source, j, slot))
-    return out
-
-
 class Fluid:
     """The fluid schedule: when each source's blocks begin and end, in slots."""
 

@@ -187,6 +187,14 @@ def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
             return labels
 
 
+def _different_texts(texts: DataFrame, sketched: DataFrame) -> DataFrame:
+    """(node, text) without repeats, so that a pair of ids is compared once however often their rows repeat."""
+    ids = sketched.groupBy(F.col("doc_id").alias("node")).agg(F.count("*").alias("n")).filter("n > 1 AND node IS NOT NULL")
+    repeated = materialise(ids.select("node"), "repeated")
+    again = texts.join(repeated, "node", "left_semi").dropDuplicates(["node", "text"])
+    return texts.join(repeated, "node", "left_anti").unionByName(again)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``."""
     narrow = id_and_text(docs)
@@ -200,7 +208,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = full.select("set1", "set2", "bands", F.col("doc_id").alias("node"))
     nodes = first.join(named, ["set1", "set2", "node"]).select("node", "n_shingles", "bands")
     versions = full.filter("doc_id IS NOT NULL").join(named.select("set1", "set2", "node"), ["set1", "set2"])
-    labels = links(nodes, narrow.select(F.col("doc_id").alias("node"), "text"))
+    labels = links(nodes, _different_texts(narrow.select(F.col("doc_id").alias("node"), "text"), full))
     # a document's versions stand in one component even when their sets differ
     same = versions.filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     ties = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(same).filter("a <> b")

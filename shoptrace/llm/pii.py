@@ -6,7 +6,8 @@ information of term and entity divided by the information content of the entity,
 
     log2(n(e, t) N / (n(e) n(t))) / log2(N / n(e)),
 
-which is 1 when the term never occurs without the entity. A term seen with an entity in at least ``SUPPORT`` different
+which is 1 when the term never occurs without the entity. Terms are runs of letters and digits of any length outside base spans; a line of more
+than ``LINE_CHARS`` characters counts as several, cut between words, so the pairs of a text grow with its length only. A term seen with an entity in at least ``SUPPORT`` different
 lines whose disclosure reaches ``GENERALISE`` is generalised in the documents where both stand in one line; from ``REMOVE`` on
 it is removed. Different lines are told apart by hash, so copies of a document are no evidence.
 
@@ -29,14 +30,16 @@ from shoptrace.sources.tables import materialise
 SUPPORT = 3
 GENERALISE = 0.85
 REMOVE = 0.97
-MIN_LETTERS = 4
+#: Longer lines are cut.
+LINE_CHARS = 1000
 
 #: A match can begin only where its run begins or where the last match ended; possessive repeats keep long runs linear.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-TERM = rf"\p{{L}}{{{MIN_LETTERS},}}"
+RUN = r"\p{L}\p{M}\p{N}"
+LINE = rf"[^\n]{{1,{LINE_CHARS}}}(?!\S)|\S+"
 OCTET = r"0*(?:[0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
@@ -93,8 +96,14 @@ def entity(span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), plain)
 
 
-def _terms(line: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(line), F.lit(TERM), F.lit(0)))
+def _lines(text: Column) -> Column:
+    return F.filter(F.regexp_extract_all(text, F.lit(LINE), F.lit(0)), lambda x: F.trim(x) != "")
+
+
+def _terms(line: Column, base: Column) -> Column:
+    """Different runs of letters and digits outside the base spans of the line."""
+    free = masked(line, F.transform(base, lambda s: s.withField("kind", F.lit("blank"))))
+    return F.array_distinct(F.regexp_extract_all(F.lower(free), F.lit(f"[{RUN}]+"), F.lit(0)))
 
 
 def disclosures(docs: DataFrame, marked: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -102,13 +111,14 @@ def disclosures(docs: DataFrame, marked: DataFrame) -> tuple[DataFrame, DataFram
 
     ``docs(doc_id, text)`` are all documents, ``marked(doc_id, text_hash, text, base)`` those with base spans.
     """
-    lines = marked.select("doc_id", "text_hash", F.explode(F.split("text", "\n")).alias("line")).filter(F.trim("line") != "")
-    held = lines.select(
-        "doc_id", "text_hash", F.xxhash64("line").alias("context"), F.array_distinct(F.transform(base_spans(F.col("line")), entity)).alias("entities"),
-        _terms(F.regexp_replace("line", EMAIL, " ")).alias("terms"),
-    ).filter(F.size("entities") > 0)
+    lines = marked.select("doc_id", "text_hash", F.explode(_lines(F.col("text"))).alias("line"))
+    based = lines.select("doc_id", "text_hash", "line", base_spans(F.col("line")).alias("spans")).filter(F.size("spans") > 0)
+    held = based.select(
+        "doc_id", "text_hash", F.xxhash64("line").alias("context"), F.array_distinct(F.transform("spans", entity)).alias("entities"),
+        _terms(F.col("line"), F.col("spans")).alias("terms"),
+    )
     held = materialise(held, "entity_lines")
-    totals = docs.select(F.sum(F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""))).alias("lines"))
+    totals = docs.select(F.sum(F.size(_lines(F.col("text")))).alias("lines"))
     seen = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     places = held.select("doc_id", "text_hash", "context", F.explode("entities").alias("entity"), "terms").select(
         "doc_id", "text_hash", "context", "entity", F.explode("terms").alias("term")
@@ -118,7 +128,8 @@ def disclosures(docs: DataFrame, marked: DataFrame) -> tuple[DataFrame, DataFram
     )
     joint = materialise(joint.filter(F.col("n_contexts") >= SUPPORT), "joint")
     wanted = joint.select("term").distinct()
-    words = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(F.explode(_terms(F.col("line"))).alias("term"))
+    every = docs.select(F.explode(_lines(F.col("text"))).alias("line"))
+    words = every.select(F.explode(_terms(F.col("line"), base_spans(F.col("line")))).alias("term"))
     counted = words.groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term")
     joined = joint.join(counted, "term").join(seen, "entity").withColumn("lines", totals.scalar())
     information = F.log2(F.col("lines") / F.col("n_entity"))
@@ -149,7 +160,7 @@ def term_spans(docs: DataFrame) -> DataFrame:
     none = F.array().cast(SPAN)
 
     def located(name: str) -> Column:
-        pattern = F.concat(F.lit(r"(?<!\p{L})(?iu:"), F.col(name), F.lit(r")(?!\p{L})"))
+        pattern = F.concat(F.lit(rf"(?<![{RUN}])(?iu:"), F.col(name), F.lit(rf")(?![{RUN}])"))
         return F.when(F.col(name) != "", spans_of(F.col("text"), pattern, name)).otherwise(none)
 
     free = F.filter(
@@ -194,7 +205,7 @@ def masked(text: Column, spans: Column) -> Column:
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(state: Column, s: Column) -> Column:
-        mask = F.when(s["kind"] == "remove", F.lit("")).when(s["kind"] == "generalise", F.lit("[TERM]"))
+        mask = F.when(s["kind"] == "remove", F.lit("")).when(s["kind"] == "blank", F.lit(" ")).when(s["kind"] == "generalise", F.lit("[TERM]"))
         mask = mask.otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
         kept = F.substring(text, state["at"] + 1, s["start"] - state["at"])
         out = F.when(s["start"] >= state["at"], F.concat(state["out"], kept, mask)).otherwise(state["out"])

@@ -41,6 +41,8 @@ REMEMBERED_WORDS = 2_000_000
 
 #: Texts with fewer tokens get a wider share of their group's common band.
 FULL_BAND_TOKENS = 1024
+#: A class of so many documents lies half-way between its group's band and its own.
+PRIOR_DOCUMENTS = 200
 
 #: Histogram step of each metric.
 METRICS = {"chars_per_token": 0.02, "chars_per_byte_token": 0.02, "fallback_share": 0.005, "entropy_ratio": 0.005}
@@ -254,13 +256,11 @@ def measure(
     return narrow.mapInArrow(run, SCHEMA)
 
 
-def bands(measured: DataFrame, spread: float = 5.0, least: int = 200, floor: float = 5.0) -> DataFrame:
-    """Per language or script and length class, the accepted range of each metric.
+def bands(measured: DataFrame, spread: float = 5.0, floor: float = 5.0) -> DataFrame:
+    """Per language or script and length class (-1: all of the group), middle and reach of each metric and the documents they are from.
 
-    A range is the median plus or minus ``spread`` robust deviations (at least ``floor`` histogram steps), taken over the
-    documents that pass the base rule. Classes with fewer than ``least`` documents use the range of their whole group,
-    widened for short texts as sampling error widens (``judge``).
-    The histograms are bounded: metrics are counted in fixed steps, so no class is sorted in one task.
+    The reach is ``spread`` robust deviations (at least ``floor`` histogram steps), over the documents that pass the base rule. The
+    histograms are bounded: metrics are counted in fixed steps, so no class is sorted in one task.
     """
     usable = measured.filter(~F.col("base_failed"))
     steps = F.explode(
@@ -288,19 +288,23 @@ def bands(measured: DataFrame, spread: float = 5.0, least: int = 200, floor: flo
     )
     width = F.create_map(*(F.lit(v) for pair in METRICS.items() for v in pair))[F.col("metric")]
     reach = F.greatest(F.lit(floor), (F.col("q3") - F.col("q1")) / F.lit(1.349) * spread)
-    return cuts.filter((F.col("total") >= least) | (F.col("length_class") == -1)).select(
-        "band_group", "length_class", "metric",
+    return cuts.select(
+        "band_group", "length_class", "metric", "total",
         ((F.col("mid") + 0.5) * width).alias("mid"), (reach * width).alias("reach"),
     )
 
 
-def judge(docs: DataFrame, **vocabulary) -> DataFrame:
-    """One row per document: counts, fertility figures, ``base_failed`` and ``kept``."""
+def judge(docs: DataFrame, prior: float = PRIOR_DOCUMENTS, **vocabulary) -> DataFrame:
+    """One row per document: counts, fertility figures, ``base_failed`` and ``kept``.
+
+    A class of n documents has the band n / (n + prior) of the way from its group's to its own, in middle and in reach; the group's
+    reach is widened for short texts as sampling error widens. There is no class size at which the rule changes.
+    """
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     measured = materialise(measure(docs, **vocabulary).withColumn("base_failed", base), "fertility")
     limits = bands(measured)
     wide = limits.groupBy("band_group", "length_class").pivot("metric", list(METRICS)).agg(
-        F.struct(F.first("mid").alias("mid"), F.first("reach").alias("reach"))
+        F.struct(F.first("mid").alias("mid"), F.first("reach").alias("reach"), F.first("total").alias("total"))
     )
     own = wide.select("band_group", "length_class", *(F.col(m).alias(f"own_{m}") for m in METRICS))
     whole = wide.filter("length_class = -1").select("band_group", *(F.col(m).alias(f"all_{m}") for m in METRICS))
@@ -308,8 +312,14 @@ def judge(docs: DataFrame, **vocabulary) -> DataFrame:
     wider = F.sqrt(F.greatest(F.lit(1.0), F.lit(FULL_BAND_TOKENS) / F.greatest(F.col("n_tokens"), F.lit(1))))
     outside = []
     for m in METRICS:
-        mid = F.coalesce(F.col(f"own_{m}.mid"), F.col(f"all_{m}.mid"))
-        reach = F.coalesce(F.col(f"own_{m}.reach"), F.col(f"all_{m}.reach") * wider)
+        n = F.coalesce(F.col(f"own_{m}.total"), F.lit(0))
+        own_share = n / (n + prior)
+
+        def between(own, group):
+            return own_share * F.coalesce(own, F.lit(0.0)) + (1 - own_share) * group
+
+        mid = between(F.col(f"own_{m}.mid"), F.col(f"all_{m}.mid"))
+        reach = between(F.col(f"own_{m}.reach"), F.col(f"all_{m}.reach") * wider)
         outside.append(
             F.when(F.col(m) < mid - reach, F.lit(f"{m} low")).when(F.col(m) > mid + reach, F.lit(f"{m} high"))
         )

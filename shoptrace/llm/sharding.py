@@ -82,11 +82,20 @@ def assign(docs: DataFrame, limit_bytes: int = LIMIT_BYTES) -> DataFrame:
     )
 
 
-def write_shards(docs: DataFrame, path: str, limit_bytes: int = LIMIT_BYTES) -> None:
-    """Write ``docs``, all columns, as one folder per shard."""
-    shards = _directory(docs, limit_bytes).select(F.col("code").alias("_code"), "shard").distinct()
-    placed = docs.join(shards, hash_code(docs["doc_id"], docs["text"]) == shards["_code"]).drop(shards["_code"])
-    placed.repartition("shard").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, limit_bytes: int = LIMIT_BYTES) -> str:
+    """Write ``docs``, all columns, as one folder per shard, and return the name of the folders' column.
+
+    Folders are named by the bits behind a ``b`` (``b`` alone is the undivided table), so that readers take the name as text. Their column
+    is ``shard``, with underscores before it where ``docs`` has a column of that name.
+    """
+    name = "shard"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    shards = _directory(docs, limit_bytes).select("code", F.concat(F.lit("b"), "shard").alias("name")).distinct()
+    rows = docs.select(hash_code(F.col("doc_id"), F.col("text")).alias("code"), F.struct("*").alias("doc"))  # one column, so no names clash
+    placed = rows.join(shards, "code").select(*(F.col("doc").getField(c).alias(c) for c in docs.columns), F.col("name").alias(name))
+    placed.repartition(name).write.partitionBy(name).parquet(path)
+    return name
 
 
 #: The same in SQL: the fewest leading bits with which a document's bucket fits. 48 bits are enough for distinct keys.

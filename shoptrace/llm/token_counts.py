@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Sequence
 from functools import lru_cache
 
@@ -30,11 +31,29 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 BLOCK_LENGTHS = 512
 
 
-@lru_cache(maxsize=2)
-def encoding(folder: str, file: str) -> tiktoken.Encoding:
+#: Blanks as the pattern of the vocabulary knows them, and a run of them that its matcher would have to go back over too far.
+BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WHOLE = r"(?s:.+)"
+LONG_BLANK = re.compile(f"[{BLANK}]{{4096,}}")
+
+
+@lru_cache(maxsize=4)
+def encoding(folder: str, file: str, pattern: str = BYTE_PATTERN) -> tiktoken.Encoding:
     with open(os.path.join(folder, file), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding(file, pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(file, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def token_count(text: str, pieces: tiktoken.Encoding, whole: tiktoken.Encoding) -> int:
+    """Tokens of the text, from the encoder and from one that takes any text as a single piece. Of a run of blanks all but the last one before other text are a single piece of the pattern, at
+    the end of the text all are; long runs are given to the encoder as such pieces, so its matcher never sees them.
+    """
+    count = at = 0
+    for run in LONG_BLANK.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        count += len(pieces.encode_ordinary(text[at : run.start()])) + len(whole.encode_ordinary(text[run.start() : end]))
+        at = end
+    return count + len(pieces.encode_ordinary(text[at:]))
 
 
 def encoded_lengths(docs: DataFrame, folder: str | None = None, file: str = VOCABULARY) -> DataFrame:
@@ -42,9 +61,9 @@ def encoded_lengths(docs: DataFrame, folder: str | None = None, file: str = VOCA
     place = folder or vocabulary_folder()
 
     def run(batches):
-        encoder = encoding(place, file)
+        encoders = encoding(place, file), encoding(place, file, WHOLE)
         for batch in batches:
-            lengths = [len(encoder.encode_ordinary(t)) if t else 0 for t in batch.column("text").to_pylist()]
+            lengths = [token_count(t, *encoders) if t else 0 for t in batch.column("text").to_pylist()]
             length, count = np.unique(np.array(lengths, np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(length), pa.array(count.astype(np.int64))], names=["n_tokens", "n_docs"])
 

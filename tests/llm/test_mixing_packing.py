@@ -1,28 +1,15 @@
 from __future__ import annotations
 
 import random
-from collections import Counter
-from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from shoptrace.llm import mixing, packing
 
 
-def test_period_keeps_every_source_within_one_block():
-    parts = mixing.shares({"a": 0.5, "b": 0.3, None: 0.15, "d": 0.05})
-    assert sum(parts.values()) == mixing.PERIOD
-    sent: Counter = Counter()
-    for source, block, slot in sorted(mixing.period_pattern(parts), key=lambda x: x[2]):
-        assert block == sent[source]
-        sent[source] += 1
-        assert all(abs(sent[s] - Fraction((slot + 1) * n, mixing.PERIOD)) < 1 for s, n in parts.items())
-    with pytest.raises(ValueError):
-        mixing.shares({str(i): 1.0 for i in range(600)})
-
-
 def test_schedule(make_docs, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET_DOCUMENTS", 16)
     rows = [(i, f"t{i}", "en", "big" if i % 3 else "small") for i in range(300)] + [(7, "t7", "en", "big"), (None, None, None, None)]
@@ -146,3 +133,17 @@ def test_packing_follows_the_mix(spark, make_docs, tmp_path, monkeypatch):
             assert max(place[i] for i in groups[k]) < min(place[i] for i in groups[k + 1])
         for k in range(5):
             assert abs(sum(i % 4 == 0 for i in groups[k]) - 100) <= 32
+
+
+@pytest.mark.parametrize("names", [["in_part", "in_file", "in_row"], ["_metadata"], ["position", "group", "piece", "length", "slot"]])
+def test_packing_stage_with_clashing_columns(spark, make_docs, tmp_path, names):
+    docs = make_docs([(i, f"text number {i} " * 30) for i in range(20)])
+    wide = docs.select("*", *(F.lit(i).alias(n) for i, n in enumerate(names)))
+    wide.coalesce(1).write.parquet(str(tmp_path / "wide"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "plain"))
+    read = lambda name: spark.read.parquet(str(tmp_path / name))
+    packed = [sorted(map(str, corpus_pipeline.pack_sequences(spark, d, "").collect())) for d in (read("wide"), read("plain"))]
+    assert packed[0] == packed[1] and len(packed[0]) == 20
+    rows = corpus_pipeline.in_order(read("wide")).orderBy(*corpus_pipeline.ORDER).collect()
+    assert [r.doc_id for r in rows] == list(range(20)) and {r.in_part for r in rows} == {0} and rows[0].in_file.endswith(".parquet")
+    assert corpus_pipeline.pack_sequences(spark, wide, "").count() == 20  # not a written table

@@ -74,3 +74,23 @@ def test_stage_keeps_one_of_each_group(make_docs):
     kept = near_dedup.deduplicate(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 5]
+
+
+def test_repeated_rows_are_compared_once(make_docs, monkeypatch):
+    """A thousand rows each of two near texts are one pair."""
+    r = random.Random(21)
+    words = [f"w{i}" for i in range(400)]
+    one = [r.choice(words) for _ in range(200)]
+    other = one[:190] + ["changed"] + one[191:]
+    rows = [(1, " ".join(one))] * 1000 + [(2, " ".join(other))] * 1000 + [(3, " ".join(r.choice(words) for _ in range(200)))]
+    counted, confirm = [], near_dedup.confirmed
+
+    def seen(pairs, sets):
+        counted.append((pairs.join(sets.withColumnRenamed("node", "b"), "b").count(), sets.count()))
+        return confirm(pairs, sets)
+
+    monkeypatch.setattr(near_dedup, "confirmed", seen)
+    found = {(x.doc_id, x.component_id) for x in near_dedup.near_duplicates(make_docs(rows)).collect()}
+    assert found == {(1, 1), (2, 1), (3, 3)}
+    assert all(joined <= 2 and sets <= 3 for joined, sets in counted) and counted
+    assert near_dedup.deduplicate(make_docs(rows)).count() == 2

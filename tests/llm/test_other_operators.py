@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 
 import pytest
@@ -178,3 +179,77 @@ def test_extra_columns_do_not_matter(make_docs):
         assert sorted(map(str, run(wide).collect())) == sorted(map(str, run(docs).collect()))
     for run in (quality_rules.filter_documents, near_dedup.deduplicate, pii.sanitise, mixing.interleave):
         assert run(wide).columns == wide.columns
+
+
+def test_shards_beside_columns_of_their_name(make_docs, tmp_path):
+    rows = [(i, "x" * 30) for i in range(40)]
+    for names, limit in ((["shard"], 150), (["SHARD", "_shard", "code", "doc"], 150), ([], 10**9)):
+        docs = make_docs(rows).select("*", *(F.lit(f"v{i}").alias(n) for i, n in enumerate(names)))
+        path = str(tmp_path / f"shards{len(names)}")
+        column = sharding.write_shards(docs, path, limit)
+        back = docs.sparkSession.read.parquet(path)
+        assert column.lower() not in {n.lower() for n in names} and set(back.columns) == {*docs.columns, column}
+        got = back.select("doc_id", column, *names).collect()
+        assert sorted(r.doc_id for r in got) == list(range(40)) and all(list(r)[2:] == [f"v{i}" for i in range(len(names))] for r in got)
+        wanted = {r.doc_id: "b" + r.shard for r in sharding.assign(docs, limit).collect()}
+        assert {r.doc_id: r[column] for r in got} == wanted and (limit < 10**9 or set(wanted.values()) == {"b"})
+
+
+def test_long_blanks_are_counted_as_the_encoder_would(make_docs):
+    place = token_counts.vocabulary_folder()
+    pieces, whole = (token_counts.encoding(place, token_counts.VOCABULARY, p) for p in (token_counts.BYTE_PATTERN, token_counts.WHOLE))
+    r = random.Random(3)
+    blanks = [" " * 9_000, "\n" * 5_000, " \t\n\r" * 2_000, "\u3000 " * 3_000, " " * 8_999 + "\n", "\xa0" * 4_096, "\x1c" * 6_000]
+    for _ in range(60):
+        text = "".join(r.choice(["word", "7", "?!", " end", "'s", "漢", *blanks]) for _ in range(r.randint(1, 6)))
+        assert token_counts.token_count(text, pieces, whole) == len(pieces.encode_ordinary(text))
+    million = [" " * 2_000_000, "\n" * 2_000_000 + "x", "a " + " " * 2_000_000, "7" * 300_000, "word " * 400_000]
+    found = token_counts.length_histogram(make_docs(million)).collect()
+    assert sum(x.n_docs for x in found) == len(million) and max(x.n_tokens for x in found) >= 400_000
+
+
+def test_classifier_takes_one_row_per_labelled_document(spark, make_docs):
+    rows = [(1, f"text {i}") for i in range(500)] + [(2, "other")] * 3 + [(3, None), (9, "unlabelled")]
+    known = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 1)], "doc_id long, quality int, toxic int")
+    sample = quality_classifier.labelled_sample(make_docs(rows), known).collect()
+    assert len(sample) == 3 and {"other", ""} < {r.text for r in sample}
+    assert len(quality_classifier.labelled_sample(make_docs(rows), known, 2).collect()) == 2
+
+
+def test_posterior_equals_grouped_sums_by_hand(spark, make_docs):
+    r = random.Random(12)
+    rows = []
+    for i in range(400):
+        source, lang = r.choice(["big", "big", "big", "mid", None, f"rare{i % 9}"]), r.choice(["en", "de", None])
+        words = [f"w{r.randint(0, 60)}" for _ in range(40)] + (["awful%%"] * 3 if r.random() < (0.7 if source == "mid" else 0.2) else [])
+        rows.append((i, " ".join(words), lang, source))
+    known = spark.createDataFrame([(i, int("awful" not in t), int(i % 5 == 0)) for i, t, *_ in rows[:300]], "doc_id long, quality int, toxic int")
+    found = {x.doc_id: x for x in quality_classifier.classify(make_docs(rows), known).collect()}
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    logit = lambda p: math.log(min(max(p, 1e-4), 1 - 1e-4) / (1 - min(max(p, 1e-4), 1 - 1e-4)))
+
+    def weight(sites):
+        """sites: (sum, n); the pseudo-count by the method of moments."""
+        n = sum(x[1] for x in sites)
+        mean = sum(x[0] for x in sites) / n
+        spread = sum(c * (s / c) ** 2 for s, c in sites) / n - mean**2
+        noise = mean * (1 - mean) * len(sites) / n
+        return min(max(mean * (1 - mean) / max(spread - noise, 1e-6) - 1, 2.0), 1e4)
+
+    for t in ("low", "toxic"):
+        hosts, paths = {}, {}
+        for i, _, lang, source in rows:
+            p = sigmoid(found[i][f"{t}_score"])
+            for table, at in ((hosts, source), (paths, (source, lang))):
+                s, n = table.get(at, (0.0, 0))
+                table[at] = (s + p, n + 1)
+        whole = sum(s for s, _ in hosts.values()) / len(rows)
+        of_hosts, of_paths = weight(list(hosts.values())), weight(list(paths.values()))
+        host = {at: (s + of_hosts * whole) / (n + of_hosts) for at, (s, n) in hosts.items()}
+        path = {at: (s + of_paths * host[at[0]]) / (n + of_paths) for at, (s, n) in paths.items()}
+        for i, _, lang, source in rows:
+            assert found[i][f"{t}_host"] == pytest.approx(host[source], rel=1e-9)
+            assert found[i][f"{t}_path"] == pytest.approx(path[(source, lang)], rel=1e-9)
+            want = sigmoid(found[i][f"{t}_score"] + logit(path[(source, lang)]) - logit(whole))
+            assert found[i][f"p_{t}"] == pytest.approx(want, rel=1e-9)
+    assert all(x.kept == (x.p_low <= 0.5 and x.p_toxic <= 0.5) for x in found.values())

@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
+from itertools import product
+
+import regex
+from pyspark.sql import functions as F
 
 from shoptrace.llm import pii
 
@@ -77,3 +83,69 @@ def test_edge_rows(make_docs):
     assert pii.find_spans(make_docs([]).limit(0)).count() == 0
     overlap = pii.sanitise(make_docs(["call +4111 1111 1111 111 now"])).collect()[0].text
     assert "1111" not in overlap
+
+
+def plain_lines(text):
+    return [x for x in (text or "").split("\n") if x.strip(" ")]
+
+
+def plain_terms(line):
+    """Different runs of letters, marks and digits outside the base spans."""
+    spans_ = sorted(tuple(map(int, s.split(":")[1:])) for s in spans(line))
+    for start, end in reversed(spans_):
+        line = line[:start] + " " * (end - start) + line[end:]
+    return set(regex.findall(r"[\p{L}\p{M}\p{N}]+", line.lower()))
+
+
+def disclosing(rows):
+    """(entity value, term) -> action, from counts of lines."""
+    every = [x for t in rows for x in plain_lines(t)]
+    terms, entities, joint, contexts = Counter(), Counter(), Counter(), {}
+    for line in every:
+        terms.update(plain_terms(line))
+        held = {line[int(a) : int(b)].lower() for _, a, b in (s.split(":") for s in spans(line))}
+        entities.update(held)
+        for pair in product(held, plain_terms(line)):
+            joint[pair] += 1
+            contexts.setdefault(pair, set()).add(line)
+    out = {}
+    for (e, t), n in joint.items():
+        if len(contexts[(e, t)]) >= pii.SUPPORT:
+            d = math.log2(n * len(every) / (entities[e] * terms[t])) / math.log2(len(every) / entities[e])
+            if d >= pii.GENERALISE:
+                out[(e, t)] = "remove" if d >= pii.REMOVE else "generalise"
+    return out
+
+
+def test_disclosure_equals_counts_by_hand(make_docs):
+    r = random.Random(6)
+    names = {"kim@x.org": ["Kim", "Lee", "90210", "李"], "bob@y.net": ["Bob", "unique0", "B2B"], "10.1.2.3": ["router", "é"]}
+    rows = []
+    for i in range(120):
+        entity, own = r.choice(list(names.items()))
+        line = [r.choice(own) if r.random() < 0.8 else "the", "mail", entity if r.random() < 0.8 else "nobody", r.choice(["the", "a", "x1"]), str(r.randint(0, 9))]
+        rows.append(" ".join(line) + ("\nplain line the a " + str(i) if i % 2 else ""))
+    rows += ["some other line of the text", "Bob and Kim", "Leeway 902101"]
+    want = disclosing(rows)
+    assert {"90210", "kim", "b2b"} <= {t for _, t in want} and set(want.values()) == {"generalise", "remove"}
+    found = {x.doc_id: x.spans for x in pii.find_spans(make_docs(rows)).collect()}
+    for i, text in enumerate(rows):
+        flagged = {t for x in plain_lines(text) for t in plain_terms(x) for e in {x[int(a) : int(b)].lower() for _, a, b in (s.split(":") for s in spans(x))} if (e, t) in want}
+        got = {text[int(a) : int(b)].lower() for k, a, b in (s.split(":") for s in found[i].split(",") if s) if k in ("remove", "generalise")}
+        assert got == flagged, text
+
+
+def test_short_terms_and_digits_are_judged_as_whole_runs(make_docs):
+    rows = [f"Kim Lee 90210 mail kim@x.org unique{i}" for i in range(10)] + [f"other line number {i} of a longer text" for i in range(200)]
+    clean = {r.doc_id: r.text for r in pii.sanitise(make_docs(rows)).collect()}
+    assert all(not {"Kim", "Lee", "90210"} & set(clean[i].split()) and f"unique{i}" in clean[i] for i in range(10))
+    assert all(clean[i] == rows[i] for i in range(10, 210))
+
+
+def test_long_lines_are_cut_so_pairs_stay_few(make_docs, spark):
+    rows = [" ".join(f"u{i}@mail.example" for i in range(600)), "z" * 50_000 + " a@b.cc", "word " * 100_000 + "a@b.cc"]
+    docs = make_docs(rows)
+    marked = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text", pii.base_spans(F.col("text")).alias("base"))
+    _, places = pii.disclosures(docs.select("doc_id", "text"), marked)
+    assert places.count() < 40_000  # 360,000 pairs in the first line alone
+    assert all(r.n_email in (600, 1) for r in pii.find_spans(docs).collect())

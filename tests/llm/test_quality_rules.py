@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 import re
 
@@ -65,3 +66,47 @@ def test_outliers_are_rejected_and_plain_text_is_kept(make_docs):
 def test_script():
     assert quality_rules.script_of("Привет мир") == "cyrillic" and quality_rules.script_of("漢字") == "east_asian"
     assert quality_rules.script_of("1 2") == "none"
+
+
+def test_bands_and_verdict_by_hand(make_docs):
+    r = random.Random(9)
+    plain = ["the", "water", "house", "people", "under", "little", "great", "place", "world", "still", "never", "again"]
+    rows = []
+    for i in range(260):
+        lang = "en" if i % 13 else "xx"
+        odd = ["".join(r.choice("▓▒☃⌘") for _ in range(3)) for _ in range(r.choice([0, 0, 0, 0, 1, 9]))]
+        rows.append((i, " ".join(r.choice(plain) for _ in range(r.choice([30, 60, 200]))) + " " + " ".join(odd), lang))
+    docs = make_docs(rows)
+    measured = {x.doc_id: x for x in quality_rules.measure(docs).collect()}
+    failed = lambda x: x.n_words < 20 or 100 * x.n_repeat_words > 30 * x.n_words
+
+    def band(values, width):
+        steps = sorted(math.floor(v / width) for v in values)
+        q = lambda share: next(s for s in sorted(set(steps)) if sum(x <= s for x in steps) >= len(steps) * share)
+        return (q(0.5) + 0.5) * width, max(5.0, (q(0.75) - q(0.25)) / 1.349 * 5.0) * width
+
+    for x in quality_rules.judge(docs).collect():
+        sound = [y for y in measured.values() if y.band_group == x.band_group and not failed(y)]
+        own = [y for y in sound if y.length_class == x.length_class]
+        inside = True
+        for m, width in quality_rules.METRICS.items():
+            group_mid, group_reach = band([y[m] for y in sound], width)
+            wider = math.sqrt(max(1.0, quality_rules.FULL_BAND_TOKENS / max(x.n_tokens, 1)))
+            mid, reach = band([y[m] for y in own], width) if own else (0.0, 0.0)
+            share = len(own) / (len(own) + quality_rules.PRIOR_DOCUMENTS)
+            mid, reach = share * mid + (1 - share) * group_mid, share * reach + (1 - share) * group_reach * wider
+            inside &= mid - reach <= x[m] <= mid + reach
+        assert x.kept == (inside and not failed(measured[x.doc_id])), x
+
+
+def test_a_class_may_grow_without_a_jump(make_docs):
+    """Bands of 199 and of 202 like documents are nearly the same."""
+    r = random.Random(2)
+    plain = ["the", "water", "house", "people", "under", "little", "great", "place", "world", "still", "never", "again"]
+    rows = [(i, " ".join(r.choice(plain) for _ in range(50))) for i in range(202)] + [(1000 + i, " ".join(r.choice(plain) for _ in range(400))) for i in range(300)]
+    odd = [(2000 + k, " ".join(r.choice(plain) for _ in range(50 - k)) + " ☃" * k) for k in range(0, 30, 2)]
+    verdicts = []
+    for without in (set(), {0, 1, 2}):
+        docs = make_docs([x for x in rows if x[0] not in without] + odd)
+        verdicts.append({x.doc_id: x.kept for x in quality_rules.judge(docs).collect() if x.doc_id >= 2000})
+    assert sum(verdicts[0][i] != verdicts[1][i] for i in verdicts[0]) <= 1 and len(set(verdicts[0].values())) == 2
