@@ -3,7 +3,7 @@
 *Evidence.* Labelled documents, at most ``MAX_LABELLED`` rows by hash of doc_id, give per feature how many bad and good ones
 have it. A feature is a word, a word's last three bytes, or a step of the share of distinct words; features are hashed to
 ``FEATURES`` slots, so the model has a fixed size. Those whose log odds differ from zero by ``LEAST_Z`` standard errors count; the
-sum over a document, scaled by one slope fitted on documents held out from these counts, is its log likelihood ratio.
+sum over a document, scaled by one slope, is its log likelihood ratio. The slope is fitted on every fourth document, scored with counts of the others.
 
 *Sites.* Every document's probability under the global prior is summed by host (source) and by path (source and language). A
 host's rate is drawn to the global rate, a path's to its host's, with as many pseudo-documents as the spread between
@@ -33,6 +33,8 @@ MAX_LABELLED = 20_000
 FEATURES = 1 << 18
 LEAST_Z = 4.0
 LEAST_DOCUMENTS = 5
+#: Where no slope can be fitted: features overlap, so their log odds are not added up in full.
+FEW_LABELS_SLOPE = 0.5
 TARGETS = ("low", "toxic")
 
 
@@ -106,7 +108,7 @@ def _fit_slope(score: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
     """Texts of at most ``most`` labelled documents, one for each doc_id: of several rows the one with the least text hash.
 
-    Their ids, being so few, are broadcast. Every fourth document is ``held`` out from the evidence, to fit the slope on.
+    Their ids, being so few, are broadcast. Every fourth document is marked ``held``: the slope is fitted on those.
     """
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(
         F.max(F.when(F.col("quality") == 0, 1).otherwise(0)).alias("low"), F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic")
@@ -117,9 +119,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED
     return one.select("low", "toxic", (F.pmod(F.xxhash64(F.lit("held"), F.col("doc_id")), F.lit(4)) == 0).alias("held"), "least.text")
 
 
-def fit(sample: DataFrame) -> Model:
-    sample = materialise(sample, "labelled")
-    counted = sample.filter("NOT held").mapInArrow(_counts, "target int, slot long, bad long, n long").groupBy("target", "slot")
+def _weighted(sample: DataFrame) -> Model:
+    counted = sample.mapInArrow(_counts, "target int, slot long, bad long, n long").groupBy("target", "slot")
     rows = counted.agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).toPandas()  # FEATURES rows per target at most
     model = Model()
     for k in range(len(TARGETS)):
@@ -131,21 +132,28 @@ def fit(sample: DataFrame) -> Model:
         part = own[own["slot"] >= 0]
         model.weights[k, part["slot"].to_numpy()] = _weights(part["bad"].to_numpy(), part["n"].to_numpy(), bad_docs, docs)
         model.prior[k] = np.log(bad_docs / (docs - bad_docs))
+    return model
+
+
+def fit(sample: DataFrame) -> Model:
+    """Weights from the whole sample; slopes from documents held out, scored with the weights of the others."""
+    sample = materialise(sample, "labelled")
+    final, model = _weighted(sample), _weighted(sample.filter("NOT held"))
 
     def score(batches):
         for batch in batches:
             for first, last, data, at in blocks(batch.column("text")):
                 found = model.sums(data, at)
-                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in found), *(batch.column(t)[first:last] for t in (*TARGETS, "held"))], names=["s0", "s1", *TARGETS, "held"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in found), *(batch.column(t)[first:last] for t in TARGETS)], names=["s0", "s1", *TARGETS])
 
     # one row of numbers per document of the sample, which is bounded
-    scored = sample.select("low", "toxic", "held", "text").mapInArrow(score, "s0 double, s1 double, low int, toxic int, held boolean").toPandas()
+    scored = sample.filter("held").select("low", "toxic", "text").mapInArrow(score, "s0 double, s1 double, low int, toxic int").toPandas()
     for k, t in enumerate(TARGETS):
-        if model.weights[k].any():
-            out = scored[scored["held"]]
-            out = out if out[t].nunique() == 2 else scored  # too few labels to hold any out
-            model.slope[k], model.prior[k] = _fit_slope(out[f"s{k}"].to_numpy(), out[t].to_numpy().astype(float))
-    return model
+        if final.weights[k].any() and model.weights[k].any() and scored[t].nunique() == 2:
+            final.slope[k], final.prior[k] = _fit_slope(scored[f"s{k}"].to_numpy(), scored[t].to_numpy().astype(float))
+        elif final.weights[k].any():  # too few labels to hold any out: a cautious slope and the sample's prior
+            final.slope[k] = FEW_LABELS_SLOPE
+    return final
 
 
 def evidence(docs: DataFrame, model: Model) -> DataFrame:
