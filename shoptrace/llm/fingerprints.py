@@ -1,24 +1,28 @@
 """Document fingerprints by a homomorphic multiset hash.
 
-A text is the multiset of its paragraphs, and a long paragraph that of its sentences. Each unit is hashed to a wide vector;
-a fingerprint is the sum of the vectors modulo powers of two. So the order of units does not matter, adding or deleting a
-unit adds or subtracts its vector, and equal multisets are equal vectors.
+A text is the multiset of its paragraphs, a paragraph that of its sentences, and a sentence of more than ``LONG`` characters that
+of pieces that end where a hash of the last ``WINDOW`` characters says so: an edit there changes the piece it falls into, not
+the others. Each unit is hashed to a wide vector; a fingerprint is the sum of the vectors modulo powers of two. So the order of
+paragraphs and sentences does not matter, adding or deleting a unit adds or subtracts its vector, and equal multisets are equal vectors.
 
 Lanes, all little-endian in one byte string:
 
 * a count of units modulo 2**32,
 * ``WIDE`` dense lanes modulo 2**64, which every unit enters: for equality,
 * ``LEVELS`` x ``CELLS`` sparse lanes modulo 2**16: a unit enters one cell on each level up to its own, half as many units reach
-  each next level: for likeness.
+  each next level: for likeness. Zero bytes at the end are not written. The last levels are sparse for any text that Spark can hold.
 
-Likeness of two fingerprints is the share of equal cells among those used in either, on the first level where the larger text
-fills at most about half of the cells; 1 for equal fingerprints.
+Likeness of two fingerprints estimates the share of different units that occur equally often in both, among those in either.
+Cells that differ give the number of units that do not, cells used in either give the number of all: a share x of touched cells
+means -CELLS * ln(1 - x) units on that level. Each number is read on the first level where at most ``FILLED`` of the cells are
+touched. It is 1 for equal fingerprints.
 
 The edited text keeps the first three quarters of a document and ends with the beginning of the next one by doc_id. Its
 fingerprint is made incrementally: units of the old ending are taken away, units of the new ending added.
 
-Neighbours are found without one global window: doc_id ranges are dealt to partitions and sorted there, and the first row of
-each range also goes, once, to the range before it.
+Neighbours are found without one global window: ranges of (doc_id, hash of the text) are dealt to partitions and sorted there, and
+the first row of each range also goes, once, to the range before it. A doc_id with many rows, NULL included, takes several
+ranges; only rows equal in both columns stay together.
 
 Defined results: a NULL text is empty. Rows with equal doc_id follow in the order of a hash of the text; repeated rows are
 neighbours. Rows without a doc_id come first. A single row is its own next document. No rows give no rows. Extra columns are
@@ -30,6 +34,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -40,16 +45,50 @@ from pyspark.sql import functions as F
 from shoptrace.llm.shared import U, id_and_text, mix
 
 WIDE = 16
-LEVELS = 12
-CELLS = 32
-#: A paragraph is taken as its sentences; a unit is what stands between line ends or after a sentence end and a blank.
-UNIT = re.compile(r"\n+|(?<=[.!?]) +")
+LEVELS = 26
+CELLS = 64
+FILLED = 0.6
+#: A paragraph is taken as its sentences: cut after a stop and blanks, or a full-width stop. A sentence has some characters
+#: before its stop, so that "!! " after every word makes no units; the look-behind never leaves the sentence.
+#: It begins with one set of characters, so that it is tried there only.
+UNIT = re.compile(
+    r"[\n 。！？｡](?:(?<=\n)\n*|(?<=[.!?] )(?<=[^.!?。！？｡\n]{12}..) *|(?<=[^.!?。！？｡\n]{6}(?P<stop>[。！？｡])) *)"
+)
+#: Longer units are cut after one of ``PIECE`` windows on average.
+LONG, WINDOW, PIECE = 64, 8, 32
+#: Characters whose window hashes are taken at once.
+STEP = 1 << 20
+_BASE = U(0xD6E8FEB86659FD93)
 _SEEDS = mix(np.arange(1, WIDE + 1, dtype=U) * U(0x9E3779B97F4A7C15))
 BYTES = 4 + 8 * WIDE + 2 * LEVELS * CELLS
 
 
+def _window_ends(text: str) -> np.ndarray:
+    """Places in ``text`` after a window whose hash allows a cut."""
+    found = []
+    for at in range(0, len(text) - WINDOW + 1, STEP):
+        points = np.frombuffer(text[at : at + STEP + WINDOW - 1].encode("utf-32-le"), np.uint32).astype(U)
+        value = np.zeros(len(points) - WINDOW + 1, U)
+        for k in range(WINDOW):
+            value = value * _BASE + points[k : len(value) + k]
+        found.append(np.flatnonzero(mix(value) % U(PIECE) == 0) + at + WINDOW)
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
 def units(text: str) -> list[str]:
-    return [u for u in UNIT.split(text) if u]
+    """The units of a text: paragraphs or sentences, long ones in pieces; windows do not reach over the ends of a sentence."""
+    starts, ends = [0], []
+    for cut in UNIT.finditer(text):
+        ends.append(cut.start() + (cut["stop"] is not None))
+        starts.append(cut.end())
+    ends.append(len(text))
+    first, last = np.array(starts), np.array(ends)
+    if (last - first).max() > LONG:
+        cuts = _window_ends(text)
+        of = np.searchsorted(first, cuts, "right") - 1
+        inside = (last[of] - first[of] > LONG) & (first[of] + WINDOW <= cuts) & (cuts < last[of])
+        starts, ends = np.sort(np.concatenate([first, cuts[inside]])).tolist(), np.sort(np.concatenate([last, cuts[inside]])).tolist()
+    return [text[a:b] for a, b in zip(starts, ends, strict=True) if a < b]
 
 
 class Sums:
@@ -73,7 +112,10 @@ class Sums:
         rank = (drawn >> U(24)).astype(np.int64) & ((1 << LEVELS) - 1)
         for level in range(LEVELS):
             reach = (rank & ((1 << level) - 1)) == 0
-            np.add.at(self.sparse, (owner[reach], level * CELLS + cell[reach]), worth[reach])
+            owner, cell, worth, rank = owner[reach], cell[reach], worth[reach], rank[reach]
+            if not len(rank):
+                break
+            np.add.at(self.sparse, (owner, level * CELLS + cell), worth)
 
     def changed(self, removed: Sums, added: Sums) -> Sums:
         out = Sums.__new__(Sums)
@@ -89,25 +131,28 @@ class Sums:
 
     def strings(self) -> list[str]:
         packed = np.concatenate([x.view(np.uint8).reshape(len(self.count), -1) for x in (self.count, self.dense, self.sparse)], axis=1)
-        return [base64.b64encode(row.tobytes()).decode() for row in packed]
+        return [base64.b64encode(row.tobytes().rstrip(b"\0")).decode() for row in packed]
+
+
+def _touched(cells: np.ndarray) -> np.ndarray:
+    """Estimated number of units that touch the cells marked in each row."""
+    share = cells.reshape(len(cells), LEVELS, CELLS).mean(axis=2)
+    level = np.argmax(share <= FILLED, axis=1)  # the last level of any text is sparse
+    at = np.take_along_axis(share, level[:, None], 1)[:, 0]
+    return -np.log1p(-np.minimum(at, 1 - 0.5 / CELLS)) * np.exp2(level)
 
 
 def likeness(a: Sums, b: Sums) -> np.ndarray:
     """Likeness of the rows of ``a`` to those of ``b``, from the lanes alone."""
-    most = np.maximum(a.count, b.count).astype(np.int64)
-    level = np.ceil(np.log2(np.maximum(most / (CELLS / 2), 1))).astype(np.int64)
-    level = np.minimum(level, LEVELS - 1)
-    at = level[:, None] * CELLS + np.arange(CELLS)
-    x, y = np.take_along_axis(a.sparse, at, 1), np.take_along_axis(b.sparse, at, 1)
-    used = (x != 0) | (y != 0)
-    share = ((x == y) & used).sum(axis=1) / np.maximum(used.sum(axis=1), 1)
+    differ, used = _touched(a.sparse != b.sparse), _touched((a.sparse != 0) | (b.sparse != 0))
+    share = np.clip(1 - differ / np.maximum(used, 1e-9), 0, 1)
     equal = (a.count == b.count) & (a.dense == b.dense).all(axis=1)
     return np.where(equal, 1.0, share)
 
 
 def parse(fingerprint: str) -> Sums:
     """The lanes of one fingerprint string."""
-    raw = np.frombuffer(base64.b64decode(fingerprint), np.uint8)
+    raw = np.frombuffer(base64.b64decode(fingerprint).ljust(BYTES, b"\0"), np.uint8)
     out = Sums.__new__(Sums)
     out.count = raw[:4].view(np.uint32)
     out.dense = raw[4 : 4 + 8 * WIDE].copy().view(U)[None]
@@ -120,10 +165,10 @@ def fingerprint_texts(texts: list[str]) -> list[str]:
 
 
 def _tail_units(text: str, keep: int) -> tuple[list[str], int]:
-    """Units of ``text`` from the one that ``keep`` falls into on, and where that unit begins."""
+    """Units of ``text`` from the sentence that ``keep`` falls into or follows on, and where that sentence begins."""
     begin = 0
     for cut in UNIT.finditer(text):
-        if cut.end() > keep:
+        if cut.end() >= keep:
             break
         begin = cut.end()
     return units(text[begin:]), begin
@@ -184,6 +229,12 @@ def _in_order(batches):
                 held, size = held[-1:], len(text)
 
 
+def range_bounds(quantiles: list[float]) -> list[tuple[int, int]]:
+    """Lower bounds (key, hash) of ranges; a key that is several quantiles is cut as often, at even distances of the hash."""
+    keys = sorted(min(int(q), (1 << 63) - 1) for q in quantiles)
+    return [(k, i * (1 << 64) // n - (1 << 63)) for k, n in sorted(Counter(keys).items()) for i in range(n)]
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """One row per document: its fingerprint, that of its edited text, and likenesses."""
     spark = docs.sparkSession
@@ -191,11 +242,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     low = -(1 << 63)
     key = F.coalesce("doc_id", F.lit(low))
-    cuts = narrow.select(key.cast("double").alias("k")).approxQuantile("k", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
-    cuts = sorted({int(c) for c in cuts or []})
-    bounds = F.array(*(F.lit(c) for c in cuts)) if cuts else F.array().cast("array<long>")
-    part = F.size(F.filter(bounds, lambda c: c <= key))
-    keyed = narrow.select(key.alias("key"), F.xxhash64("text").alias("h"), part.alias("part"), "doc_id", "text")
+    found = narrow.select(key.cast("double").alias("k")).approxQuantile("k", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
+    h = F.xxhash64("text")
+    bounds = F.array(*(F.struct(F.lit(k).alias("key"), F.lit(t).alias("h")) for k, t in range_bounds(found or [])))
+    # no bounds at all: the empty array has no type to compare with
+    part = F.size(F.filter(bounds, lambda c: c <= F.struct(key.alias("key"), h.alias("h")))) if found else F.lit(0)
+    keyed = narrow.select(key.alias("key"), h.alias("h"), part.alias("part"), "doc_id", "text")
     heads = keyed.groupBy("part").agg(F.min(F.struct("key", "h")).alias("first")).orderBy("part").collect()  # one row per range
     if not heads:
         return spark.createDataFrame([], _COLUMNS)

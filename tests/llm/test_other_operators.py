@@ -97,6 +97,8 @@ def test_fingerprints(make_docs):
     r = random.Random(7)
     rows = [(i, "\n".join("".join(r.choice("abc .😀") for _ in range(r.randint(0, 40))) for _ in range(r.randint(0, 30)))) for i in range(0, 120, 2)]
     rows += [(200, ""), (201, None), (202, "a. b\nc"), (203, "c\na. b"), (204, "x" * 50_000)]
+    rows += [(205, "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(900)))]
+    rows += [(206, "".join("".join(chr(0x4E00 + r.randrange(3000)) for _ in range(r.randint(3, 30))) + "。" for _ in range(60)))]
     found = {x.doc_id: x for x in fingerprints.fingerprints(make_docs(rows)).collect()}
     assert len(found) == len(rows)
     for (i, t), (_, after) in zip(rows, rows[1:] + rows[:1]):
@@ -108,6 +110,7 @@ def test_fingerprints(make_docs):
         a, b = fingerprints.parse(found[i].fingerprint), fingerprints.parse(found[i].edited_fingerprint)
         assert found[i].near_edited == fingerprints.likeness(a, b)[0]
     assert found[202].fingerprint == found[203].fingerprint and found[202].near_next == 1.0
+    assert found[205].near_edited > 0.3 and found[206].near_edited > 0.3  # no stop, only full-width stops
     one = fingerprints.fingerprints(make_docs([(None, "abcd")])).collect()
     assert one[0].edited_sha256 == hashlib.sha256(b"abca").hexdigest()
     assert fingerprints.fingerprints(make_docs([(1, "a"), (1, "a"), (1, "b")])).count() == 3
@@ -123,6 +126,53 @@ def test_likeness_follows_shared_units():
     assert moved.strings() == prints.rows(1, 2).strings()
 
 
+def test_likeness_estimates_the_share_of_equal_units():
+    r = random.Random(11)
+    for n in (3, 40, 700, 300_000):
+        for share in (0.0, 0.5, 0.95, 1.0):
+            both = int(n * share)
+            a = [f"unit {r.random()}" for _ in range(n)]
+            b = a[:both] + [f"other {r.random()}" for _ in range(n - both)]
+            prints = fingerprints.Sums([a, b])
+            found = fingerprints.likeness(prints.rows(0, 1), prints.rows(1, 2))[0]
+            assert abs(found - both / (2 * n - both)) < 0.25 and (found == 1) == (share == 1)
+
+
+def test_an_edit_changes_one_piece_of_a_text_without_stops():
+    r = random.Random(3)
+    text = "".join(r.choice("abcdefgh ") for _ in range(5000))
+    before, after = fingerprints.units(text), fingerprints.units(text[:2500] + "#" + text[2500:])
+    assert "".join(before) == text and 60 < len(before) < 400
+    assert len(set(after) - set(before)) <= 2
+    shouting = "WORD!! " * 300
+    assert len(fingerprints.units(shouting)) < 200
+    steps = fingerprints.STEP
+    try:
+        fingerprints.STEP = 64
+        assert fingerprints.units(text) == before
+    finally:
+        fingerprints.STEP = steps
+    assert fingerprints.units("") == [] == fingerprints.units("\n" * 200)
+    assert all(fingerprints.units("z" * n) for n in (1, 7, 8, 64, 65, 200_000))
+
+
+def test_ranges_cut_a_hot_key(make_docs):
+    bounds = fingerprints.range_bounds([-(2.0**63), -(2.0**63), 3.0, float(2**63)])
+    assert bounds == sorted(bounds) and bounds[:3] == [(-(1 << 63), -(1 << 63)), (-(1 << 63), 0), (3, -(1 << 63))]
+    assert bounds[-1][0] == (1 << 63) - 1
+    rows = [(None, f"text {i}") for i in range(300)] + [(i, f"other {i}") for i in range(200)] + [(7, "same")] * 50
+    docs = make_docs(rows)
+    keys = [(r.doc_id, r.text) for r in docs.selectExpr("doc_id", "text", "xxhash64(text) AS h").orderBy(F.asc_nulls_first("doc_id"), "h").collect()]
+    want = []
+    for (i, t), (_, after) in zip(keys, keys[1:] + keys[:1]):
+        n = len(t) // 4
+        want.append((i or -1, hashlib.sha256((t[: len(t) - n] + after[:n]).encode()).hexdigest()))
+    got = fingerprints.fingerprints(docs)
+    assert sorted((r.doc_id or -1, r.edited_sha256) for r in got.collect()) == sorted(want)
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 2 and max(sizes) < 300
+
+
 def test_token_histogram(make_docs, monkeypatch):
     monkeypatch.setattr(token_counts, "BLOCK_LENGTHS", 4)
     r = random.Random(2)
