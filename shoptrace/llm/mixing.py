@@ -15,7 +15,7 @@ the slots before its own. The rarest source sets this lead; where leads would co
 No source is sorted in one task: documents are ranked within hash buckets of bounded size, and bucket counts give offsets.
 
 Defined results: every row gets a slot, repeated rows each their own place. A NULL source is a source of its own. Order within a
-source is by a hash of doc_id, then doc_id, then a hash of the text. A table without rows gives no rows. Extra columns are kept by
+source is by a hash of doc_id and text, then doc_id, then a hash of the text. A table without rows gives no rows. Extra columns are kept by
 ``interleave``; columns named ``slot``, ``block`` and the like in the input do not matter, the work columns have other names.
 """
 
@@ -181,7 +181,7 @@ def scheduled(
     of_source = spark.createDataFrame(pa.table(numbered, names=["_of", "_id", "_share"]))
 
     buckets = max(1, -(-sum(counts.values()) // BUCKET_DOCUMENTS))
-    keyed = docs.withColumn("_hash", F.xxhash64("doc_id"))
+    keyed = docs.withColumn("_hash", F.xxhash64("doc_id", "text_hash"))  # many rows of one doc_id, or of none, spread as well
     keyed = keyed.withColumn("_bucket", F.pmod("_hash", F.lit(buckets)))
     sizes = keyed.groupBy(F.col("source").alias("_source"), F.col("_bucket").alias("_in")).agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_source").orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)
