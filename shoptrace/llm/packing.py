@@ -1,16 +1,16 @@
 """Variable-capacity best-fit packing.
 
-Documents longer than the longest permitted sequence are cut into pieces of that length. Pieces go, longest first, into the
-open bin with the least room that still holds them. Where none does, a bin is opened with the capacity that costs least per
-token it can still expect to hold; all permitted capacities compete. At the end each bin shrinks to the smallest permitted
-capacity that holds its contents.
+Lengths are tokens of a public vocabulary. Documents longer than the longest permitted sequence are cut into pieces of that length.
+Pieces go, longest first, into the open bin with the least room that still holds them. Where none does, a bin is opened. For
+each permitted capacity the pieces still to come are laid into it on trial, longest first; the capacity whose contents cost least
+per token, as a bin shrunk to them, is opened. At the end each bin shrinks to the smallest permitted capacity that holds its contents.
 
 Pieces are dealt into packing groups of bounded size, each packed in one task: by hash, or, if the documents come with an order, as
 runs of consecutive pieces. A group wastes at most a few bins, so the loss over one global packing vanishes with group size. In an
 order, groups are numbered and leave in it, so from group to group the sequences keep the mix of the order; within a group of
 20,000 pieces best-fit decides.
 
-Defined results: every word is in exactly one piece. A text without words gives one row without a bin. Repeated rows are packed
+Defined results: every token is in exactly one piece. An empty or NULL text gives one row without a bin. Repeated rows are packed
 each. Ties go by doc_id, then piece. A table without rows gives no rows. Extra columns are ignored.
 """
 
@@ -18,11 +18,16 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Callable, Sequence
+from operator import neg
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shoptrace.llm.quality_rules import vocabulary_folder
+from shoptrace.llm.token_counts import VOCABULARY, WHOLE, encoding, token_count
 from shoptrace.operators.ordering import global_positions
 from shoptrace.sources.tables import materialise
 
@@ -39,15 +44,29 @@ def sequence_cost(capacity: int) -> float:
     return capacity * (1 + capacity / 16_384) + 128
 
 
+def trial_fill(lengths: Sequence[int], at: int, capacity: int) -> int:
+    """What a bin of ``capacity`` holds if piece ``at`` and the longest fitting ones after it go in; lengths come longest first."""
+    left = capacity - lengths[at]
+    at += 1
+    while left > 0 and (at := bisect_left(lengths, -left, at, key=neg)) < len(lengths):
+        left -= lengths[at]
+        at += 1
+    return capacity - left
+
+
 def pack(lengths: Sequence[int], capacities: Sequence[int] = CAPACITIES, cost: Callable[[int], float] = sequence_cost):
     """Bin, offset in the bin and the bin's opened and final capacity for each length; lengths come longest first."""
     sizes = sorted(capacities)
-    left = sum(lengths)
+
+    def cost_per_token(at: int, capacity: int) -> float:
+        fill = trial_fill(lengths, at, capacity)
+        return cost(sizes[bisect_left(sizes, fill)]) / fill
+
     room: list[tuple[int, int]] = []  # (free space, bin), sorted
     opened: list[int] = []
     used: list[int] = []
     out: list[tuple[int, int]] = []
-    for n in lengths:
+    for i, n in enumerate(lengths):
         at = bisect_left(room, (n, -1))
         if at < len(room):
             free, number = room.pop(at)
@@ -55,13 +74,12 @@ def pack(lengths: Sequence[int], capacities: Sequence[int] = CAPACITIES, cost: C
             fitting = [c for c in sizes if c >= n]
             if not fitting:
                 raise ValueError(f"length {n} exceeds the largest capacity {sizes[-1]}")
-            free = min(fitting, key=lambda c: (cost(c) / min(c, left), -c))
+            free = min(fitting, key=lambda c: (cost_per_token(i, c), -c))
             number = len(opened)
             opened.append(free)
             used.append(0)
         out.append((number, used[number]))
         used[number] += n
-        left -= n
         if free > n:
             insort(room, (free - n, number))
     final = [sizes[bisect_left(sizes, u)] for u in used]
@@ -74,11 +92,29 @@ def word_counts(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("length"), *keep)
 
 
+def token_lengths(docs: DataFrame, keep: Sequence[str] = (), folder: str | None = None, file: str = VOCABULARY) -> DataFrame:
+    """``doc_id, length`` in tokens and the columns ``keep`` of each document, which have other names."""
+    if {"doc_id", "length"} & set(keep):
+        raise ValueError("doc_id and length are columns of the result, keep others")
+    place = folder or vocabulary_folder()
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("length"), *keep)
+
+    def run(batches):
+        encoders = encoding(place, file), encoding(place, file, WHOLE)
+        for batch in batches:
+            lengths = [token_count(t, *encoders) if t else 0 for t in batch.column("length").to_pylist()]
+            columns = [pa.array(np.array(lengths, np.int64)) if c == "length" else batch.column(c) for c in batch.schema.names]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    schema = ", ".join(f"`{f.name}` {'long' if f.name == 'length' else f.dataType.simpleString()}" for f in narrow.schema)
+    return narrow.mapInArrow(run, schema)
+
+
 def pack_documents(
     lengths: DataFrame, capacities: Sequence[int] = CAPACITIES, cost: Callable[[int], float] = sequence_cost,
     group_pieces: int = GROUP_PIECES, order: Sequence[str] = (),
 ) -> DataFrame:
-    """Place every document of ``lengths(doc_id, length)``; a place is a bin, an offset and the words it takes there.
+    """Place every document of ``lengths(doc_id, length)``; a place is a bin, an offset and the tokens it takes there.
 
     ``order`` names columns of ``lengths`` that are different in every row; without it groups are dealt by hash.
     """

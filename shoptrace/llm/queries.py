@@ -44,7 +44,7 @@ def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
 
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     ship(spark)
-    return packing.pack_documents(packing.word_counts(documents(spark, folder)))
+    return packing.pack_documents(packing.token_lengths(documents(spark, folder)))
 
 
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:

@@ -32,31 +32,85 @@ def test_schedule(make_docs, monkeypatch):
     assert mixing.schedule(make_docs([]).limit(0)).count() == 0
 
 
+def _shrunk(used):
+    return min(c for c in packing.CAPACITIES if c >= used)
+
+
+def _opened_by_trial(rest, capacity):
+    """Cost per token of a bin of ``capacity`` that takes the first of ``rest`` and whatever fits of the others in turn."""
+    fill = 0
+    for n in rest:
+        fill += n if fill + n <= capacity else 0
+    return packing.sequence_cost(_shrunk(fill)) / fill
+
+
 def test_pack_is_best_fit():
-    """The rule spelled out: least room that fits, else the cheapest capacity per token; bins shrink at the end."""
+    """The rule spelled out: least room that fits, else the capacity whose trial contents cost least per token; bins shrink at the end."""
     r = random.Random(6)
-    lengths = sorted((min(4096, int(r.expovariate(1 / 500)) + 1) for _ in range(400)), reverse=True)
-    bins: list[list[int]] = []  # capacity, used
-    left, want = sum(lengths), []
-    for n in lengths:
-        fitting = [(c - u, i) for i, (c, u) in enumerate(bins) if c - u >= n]
-        if fitting:
-            i = min(fitting)[1]
-        else:
-            able = [c for c in packing.CAPACITIES if c >= n]
-            bins.append([min(able, key=lambda c: (packing.sequence_cost(c) / min(c, left), -c)), 0])
-            i = len(bins) - 1
-        want.append((i, bins[i][1]))
-        bins[i][1] += n
-        left -= n
-    found = packing.pack(lengths)
-    assert [(b, at) for b, at, _, _ in found] == want
-    assert all(o == bins[b][0] and c == min(x for x in packing.CAPACITIES if x >= bins[b][1]) for b, _, o, c in found)
-
-
-def test_every_word_is_packed_once(make_docs):
-    rows = [(i, "w " * n) for i, n in enumerate([0, 1, 5, 511, 512, 513, 4096, 4097, 9000])] + [(3, "w " * 511), (None, "a b"), (20, None)]
-    lengths = packing.word_counts(make_docs(rows))
+    for mean in (60, 500, 1500):
+        lengths = sorted((min(4096, int(r.expovariate(1 / mean)) + 1) for _ in range(400)), reverse=True)
+        bins: list[list[int]] = []  # capacity, used
+        want = []
+        for k, n in enumerate(lengths):
+            fitting = [(c - u, i) for i, (c, u) in enumerate(bins) if c - u >= n]
+            if fitting:
+                i = min(fitting)[1]
+            else:
+                able = [c for c in packing.CAPACITIES if c >= n]
+                bins.append([min(able, key=lambda c: (_opened_by_trial(lengths[k:], c), -c)), 0])
+                i = len(bins) - 1
+            want.append((i, bins[i][1]))
+            bins[i][1] += n
+        found = packing.pack(lengths)
+        assert [(b, at) for b, at, _, _ in found] == want
+        assert all(o == bins[b][0] and c == _shrunk(bins[b][1]) for b, _, o, c in found)
+
+
+def _total(lengths, capacities=packing.CAPACITIES):
+    return sum(packing.sequence_cost(c) for c in {b: c for b, _, _, c in packing.pack(lengths, capacities)}.values())
+
+
+def _least_total(lengths):
+    """The cheapest of all ways to deal ``lengths`` into bins."""
+    best = [float("inf")]
+
+    def deal(k, bins):
+        if k == len(lengths):
+            best[0] = min(best[0], sum(packing.sequence_cost(_shrunk(u)) for u in bins))
+            return
+        for i in range(len(bins)):
+            if bins[i] + lengths[k] <= max(packing.CAPACITIES):
+                deal(k + 1, [*bins[:i], bins[i] + lengths[k], *bins[i + 1 :]])
+        deal(k + 1, [*bins, lengths[k]])
+
+    deal(0, [])
+    return best[0]
+
+
+def test_capacities_compete():
+    """Small sets against all ways to pack them; and any one length packs worse alone where pieces leave gaps in it."""
+    r = random.Random(12)
+    found = least = 0.0
+    for _ in range(120):
+        lengths = sorted((r.randint(1, r.choice([300, 900, 2500, 4096])) for _ in range(r.randint(1, 7))), reverse=True)
+        one, best = _total(lengths), _least_total(lengths)
+        assert best <= one <= 1.6 * best
+        found, least = found + one, least + best
+    assert found < 1.08 * least
+    for lengths in ([700] * 400, [1400] * 200 + [500] * 100, [3000] * 50 + [1023] * 90 + [400] * 70):
+        joint = _total(lengths)
+        assert all(joint <= _total(lengths, [c]) for c in packing.CAPACITIES if c >= lengths[0])
+    assert {c for _, _, c, _ in packing.pack([3500, 1800, 950, 450])} >= {4096, 2048}
+
+
+def test_every_token_is_packed_once(make_docs):
+    rows = [(i, " w" * n) for i, n in enumerate([0, 1, 5, 511, 512, 513, 4096, 4097, 9000])] + [(3, " w" * 511), (None, " a b"), (20, None)]
+    docs = make_docs(rows).withColumn("length", F.lit("other")).withColumn("kept one", F.col("doc_id"))
+    with pytest.raises(ValueError, match="length"):
+        packing.token_lengths(docs, ["length"])
+    kept = packing.token_lengths(docs, ["kept one"]).collect()
+    assert all(r["kept one"] == r.doc_id for r in kept) and len(kept) == len(rows)
+    lengths = packing.token_lengths(docs)
     for group in (20_000, 2):
         found = packing.pack_documents(lengths, group_pieces=group).collect()
         assert sum(r.length for r in found) == sum(len((t or "").split()) for _, t in rows)
@@ -72,7 +126,7 @@ def test_every_word_is_packed_once(make_docs):
             assert at <= capacity
         assert sorted((r.piece, r.start, r.length) for r in found if r.doc_id == 8) == [(0, 0, 4096), (1, 4096, 4096), (2, 8192, 808)]
         assert sum(r.bin is None for r in found) == 2
-    assert packing.pack_documents(packing.word_counts(make_docs([]).limit(0))).count() == 0
+    assert packing.pack_documents(packing.token_lengths(make_docs([]).limit(0))).count() == 0
 
 
 def _order(fluid, segments):

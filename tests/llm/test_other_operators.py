@@ -225,7 +225,7 @@ def test_extra_columns_do_not_matter(make_docs):
     from shoptrace.llm import mixing, packing, pii, quality_rules, suffix_dedup
 
     for run in (sharding.assign, quality_rules.judge, near_dedup.near_duplicates, pii.find_spans, fingerprints.fingerprints,
-                suffix_dedup.repeated_strings, token_counts.length_histogram, mixing.schedule, lambda d: packing.pack_documents(packing.word_counts(d))):
+                suffix_dedup.repeated_strings, token_counts.length_histogram, mixing.schedule, lambda d: packing.pack_documents(packing.token_lengths(d))):
         assert sorted(map(str, run(wide).collect())) == sorted(map(str, run(docs).collect()))
     for run in (quality_rules.filter_documents, near_dedup.deduplicate, pii.sanitise, mixing.interleave):
         assert run(wide).columns == wide.columns
