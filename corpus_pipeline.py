@@ -56,7 +56,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return packing.pack_documents(packing.word_counts(in_order(docs), ORDER), order=ORDER)
+    return packing.pack_documents(packing.token_lengths(in_order(docs), ORDER), order=ORDER)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
