@@ -33,7 +33,6 @@ from shoptrace.sources.tables import materialise
 
 CAPACITIES = (512, 1024, 2048, 4096)
 GROUP_PIECES = 20_000
-WORD = r"[^\x20\x09-\x0D]+"
 SCHEMA = (
     "doc_id long, piece long, start long, length long, bin long, place long, opened_capacity long, capacity long"
 )
@@ -86,12 +85,6 @@ def pack(lengths: Sequence[int], capacities: Sequence[int] = CAPACITIES, cost: C
     return [(b, place, opened[b], final[b]) for b, place in out]
 
 
-def word_counts(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """``doc_id, length`` and the columns ``keep`` of each document."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("length"), *keep)
-
-
 def token_lengths(docs: DataFrame, keep: Sequence[str] = (), folder: str | None = None, file: str = VOCABULARY) -> DataFrame:
     """``doc_id, length`` in tokens and the columns ``keep`` of each document, which have other names."""
     if {"doc_id", "length"} & set(keep):
