@@ -14,9 +14,11 @@ Only sampled suffixes are sorted; all other positions take their order from them
    repeat if it has a neighbour with the same d bytes before it and a common prefix of 200 - d bytes behind. Suffixes
    whose neighbours have become too different leave the queue; most leave after a few steps.
 
-A class with more different spans than ``CLASS_SPANS``, such as the edge of a passage that a third of all documents share, is not
-sorted in one task: its windows are counted one by one under a 128-bit hash, combined in the scan tasks. Both ways find the same
-windows. The text itself is shuffled once, for both the spans that need sorting and the final cut.
+Steps 2 to 4 recur on a class with more different spans than ``CLASS_SPANS``, such as the edge of a passage that a third of all
+documents share. Its tuples are dealt by bands of d: windows of one band that are equal agree in the bytes between the band's
+ends, so these name a smaller class, and the spans are cut to the band. Bands narrow by a factor of four (64, 16, 4, 1) until a
+class fits a task; at one window a band all spans of a class are equal, so the recursion ends. The text itself is shuffled once,
+for both the spans that need sorting and the final cut.
 
 Defined results: a NULL text has no bytes. Texts under 200 bytes lose nothing. Repeated rows are occurrences of their own, so a
 repeated row of 200 bytes or more is removed wholly. A NULL doc_id stays NULL. A row is addressed by
@@ -26,6 +28,7 @@ doc_id and a 64-bit hash of its text; rows equal in both share this key, and eac
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +44,8 @@ SAMPLE = 32
 #: Spans of one class that one task sorts; a task holds about 400 bytes for each.
 CLASS_SPANS = 20_000
 BATCH_SPANS = 8_192
+#: Widths of the bands that a larger class is parted into, as powers of two, level by level.
+BAND_BITS = (6, 4, 2, 0)
 _NULL_ID = -(1 << 63)
 _BYTE = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
 
@@ -263,23 +268,62 @@ def _repeated_windows(batches):
         yield _repeated_bytes(pa.Table.from_batches(held))
 
 
-def _window_hashes(batches):
-    """Every window of the spans of hot classes, under a 128-bit hash."""
-    for batch in batches:
-        for doc, tag, place, behind, before in zip(*(batch.column(c).to_pylist() for c in ("doc", "tag", "place", "behind", "before")), strict=True):
-            position, most, least = place >> 16, (place >> 8) & 255, place & 255
-            whole = before[::-1] + behind
-            steps = range(least, most + 1)
-            keys = [xxhash.xxh3_128_digest(whole[most - d : most - d + WIDTH]) for d in steps]
-            n = len(keys)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([int.from_bytes(k[:8], "little", signed=True) for k in keys], pa.int64()),
-                    pa.array([int.from_bytes(k[8:], "little", signed=True) for k in keys], pa.int64()),
-                    pa.array([doc] * n, pa.int64()), pa.array([tag] * n, pa.int64()), pa.array([position - d for d in steps], pa.int64()),
-                ],
-                names=["w1", "w2", "doc", "tag", "begin"],
-            )
+SPAN_SCHEMA = "sample long, doc long, tag long, place long, behind binary, before binary"
+_SPAN_BYTES = [("sample", pa.int64()), ("doc", pa.int64()), ("tag", pa.int64()), ("place", pa.int64()), ("behind", pa.binary()), ("before", pa.binary())]
+
+
+def bands(sample: int, position: int, most: int, least: int, behind: bytes, before: bytes, bits: int):
+    """The parts of one span, for each band of 2**bits distances that it meets: (class, span, place, behind, before)."""
+    for low in range(least >> bits << bits, most + 1, 1 << bits):
+        high = min(low + (1 << bits) - 1, WIDTH - SAMPLE)
+        far, near = min(most, high), max(least, low)
+        left, right = before[:far], behind[: WIDTH - near]
+        name = xxhash.xxh3_64_intdigest(b"%d,%d," % (sample, low) + left[:low] + right[: WIDTH - high])
+        span = xxhash.xxh3_64_intdigest(left + right, far << 8 | near)
+        yield name, span, position << 16 | far << 8 | near, right, left
+
+
+def _banded(bits: int):
+    def part(batches):
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c, _ in _SPAN_BYTES)
+            rows = []
+            for sample, doc, tag, place, behind, before in zip(*columns, strict=True):
+                for name, span, where, right, left in bands(sample, place >> 16, place >> 8 & 255, place & 255, behind, before, bits):
+                    rows.append((name, doc, tag, where, right, left, span))
+            fields = list(zip(*rows, strict=True)) if rows else [()] * 7
+            named = np.array(fields[0], U).view(np.int64), *fields[1:6], np.array(fields[6], U).view(np.int64)
+            kinds = [*_SPAN_BYTES, ("span", pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(named, kinds, strict=True)], names=[n for n, _ in kinds])
+
+    return part
+
+
+def refined(rows: DataFrame, class_spans: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Part classes of more than ``class_spans`` spans: tables of spans of smaller classes, and (doc, tag, begin, end) of equal spans.
+
+    ``rows`` holds ``sample doc tag place behind before`` and is read once for each level. A hot class or span is combined in
+    the tasks that read it; no level brings it together.
+    """
+    most, least, position = F.expr("shiftright(place, 8) & 255"), F.expr("place & 255"), F.shiftright("place", 16)
+    names = [n for n, _ in _SPAN_BYTES]
+    small, equal = [], []
+    for bits in BAND_BITS:
+        parts = materialise(rows.mapInArrow(_banded(bits), f"{SPAN_SCHEMA}, span long"), "bands")
+        spans = parts.groupBy("sample", "span").agg(F.count("*").alias("n"), F.min(F.struct(*names[1:])).alias("first"))
+        spans = materialise(spans, "band-spans")
+        copies = spans.filter("n > 1").select("sample", "span")
+        whole = parts.join(copies, ["sample", "span"])
+        equal.append(whole.select("doc", "tag", (position - most).alias("begin"), (position - least + WIDTH).alias("end")))
+        sizes = spans.groupBy("sample").agg(F.count("*").alias("n_spans")).filter("n_spans > 1")
+        unlike = spans.join(sizes, "sample").select("n_spans", "sample", "first.*")
+        fits = F.col("n_spans") <= class_spans if bits else F.lit(True)
+        small.append(unlike.filter(fits).select(names))
+        large = unlike.filter(~fits)
+        if not bits or not large.limit(1).count():
+            break
+        rows = materialise(large.select(names), "hot-bands")
+    return small, equal
 
 
 def _cut(batches):
@@ -344,25 +388,18 @@ def repeated_strings(docs: DataFrame, class_spans: int = CLASS_SPANS) -> DataFra
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = narrow.repartition(parts, "key", "tag")
     with_spans = dealt.join(of_doc.withColumnsRenamed({"doc": "_doc", "tag": "_tag"}), F.expr("key = _doc AND tag = _tag"))
-    schema = "sample long, doc long, tag long, place long, behind binary, before binary"
 
     def bytes_of(rows: DataFrame, hot: bool) -> DataFrame:
         chosen = rows.withColumn("wanted", F.filter("wanted", lambda x: x["hot"] == F.lit(hot)))
-        return chosen.filter(F.size("wanted") > 0).select("key", "tag", "text", "wanted").mapInArrow(_spans_of_docs, schema)
+        return chosen.filter(F.size("wanted") > 0).select("key", "tag", "text", "wanted").mapInArrow(_spans_of_docs, SPAN_SCHEMA)
 
-    plain = bytes_of(with_spans, False).repartition(parts, "sample").sortWithinPartitions("sample", "behind")
-    induced = plain.mapInArrow(_repeated_windows, "doc long, tag long, begin long, end long")
-    pieces = [whole, induced]
+    queues, pieces = [bytes_of(with_spans, False)], [whole]
     if wanted.filter("hot").limit(1).count():
-        windows = materialise(
-            bytes_of(with_spans, True).mapInArrow(_window_hashes, "w1 long, w2 long, doc long, tag long, begin long"), "windows"
-        )
-        twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2")
-        hit = windows.join(twice, ["w1", "w2"]).select("doc", "tag", "begin", (F.col("begin") + WIDTH).alias("end"))
-        pieces.append(hit)
-    removed = pieces[0]
-    for more in pieces[1:]:
-        removed = removed.unionByName(more)
+        smaller, equal = refined(materialise(bytes_of(with_spans, True), "hot"), class_spans)
+        queues, pieces = queues + smaller, pieces + equal
+    queue = reduce(DataFrame.unionByName, queues).repartition(parts, "sample").sortWithinPartitions("sample", "behind")
+    pieces.append(queue.mapInArrow(_repeated_windows, "doc long, tag long, begin long, end long"))
+    removed = reduce(DataFrame.unionByName, pieces)
     removed = removed.groupBy("doc", "tag").agg(F.collect_list(F.struct("begin", "end")).alias("removed"))
     removed = removed.withColumnsRenamed({"doc": "_doc", "tag": "_tag"})
     cut = dealt.join(removed, F.expr("key = _doc AND tag = _tag"), "left")

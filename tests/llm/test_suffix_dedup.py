@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 import xxhash
 
-from shoptrace.llm.suffix_dedup import repeated_strings
+from shoptrace.llm.suffix_dedup import SAMPLE, SPAN_SCHEMA, WIDTH, bands, refined, repeated_strings
 
 
 def brute(texts):
@@ -42,7 +42,7 @@ def texts():
     return rows
 
 
-@pytest.mark.parametrize("class_spans", [20_000, 1], ids=["sorted", "hot classes"])
+@pytest.mark.parametrize("class_spans", [20_000, 3, 1], ids=["at once", "recurring", "to single windows"])
 def test_equals_brute_force(make_docs, class_spans):
     rows = texts()
     found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeated_strings(make_docs(rows), class_spans).collect()}
@@ -73,3 +73,53 @@ def test_rows_of_one_key_are_told_apart_by_the_whole_hash(make_docs, doc_id):
     assert sorted((x.n_bytes, x.n_removed, x.kept_sha256) for x in found) == sorted(
         (n, gone, sha) for n, gone, _, sha in brute([first, second, passage])
     )
+
+
+def test_a_passage_that_all_share_recurs(make_docs):
+    """Its edges are classes with as many spans as documents; some tails agree for a while."""
+    r = random.Random(13)
+
+    def letters(n):
+        return "".join(r.choice("abcdefgh ") for _ in range(n))
+
+    passage, tails = letters(320), [letters(120) for _ in range(6)]
+    rows = [letters(r.randint(0, 90)) + passage + r.choice(tails)[: r.randint(0, 120)] + letters(r.randint(0, 90)) for _ in range(150)]
+    found = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in repeated_strings(make_docs(rows), 10).collect()}
+    assert [found[i] for i in range(len(rows))] == brute(rows)
+
+
+@pytest.mark.parametrize("bits", [6, 4, 2, 0])
+def test_bands_hold_every_window_once_and_equal_windows_meet(bits):
+    r = random.Random(17)
+    shared = bytes(r.randrange(256) for _ in range(2 * WIDTH))
+    top = WIDTH - SAMPLE
+    spans = []
+    for _ in range(12):  # a span from `most` to `least` bytes before the sample at 200
+        most = r.randint(0, top)
+        least = r.randint(0, most)
+        whole = bytearray(shared)
+        whole[r.randrange(0, 400)] ^= 1
+        spans.append((most, least, bytes(whole[200 : 400 - least]), bytes(whole[200 - most : 200][::-1])))
+    classes = {}
+    for k, (most, least, behind, before) in enumerate(spans):
+        met = []
+        for name, _, place, right, left in bands(5, 1000, most, least, behind, before, bits):
+            far, near = place >> 8 & 255, place & 255
+            assert (place >> 16, len(right), len(left)) == (1000, WIDTH - near, far)
+            for d in range(near, far + 1):
+                met.append(d)
+                classes.setdefault((d, left[:d][::-1] + right[: WIDTH - d]), set()).add(name)
+        assert sorted(met) == list(range(least, most + 1)), k
+    assert all(len(names) == 1 for names in classes.values())
+
+
+def test_no_class_of_the_queue_is_too_large(spark):
+    r = random.Random(19)
+    common = bytes(r.randrange(256) for _ in range(SAMPLE + 60))
+    rows = []
+    for i in range(200):
+        behind = (common + bytes(r.randrange(2) for _ in range(WIDTH)))[:WIDTH]
+        rows.append((1, i, 0, 1000 << 16 | 150 << 8, bytearray(behind), bytearray(150)))
+    small, _ = refined(spark.createDataFrame(rows, SPAN_SCHEMA), 20)
+    sizes = Counter(x.sample for table in small for x in table.collect())
+    assert sizes and max(sizes.values()) <= 20
