@@ -186,7 +186,8 @@ def scheduled(
     sizes = keyed.groupBy(F.col("source").alias("_source"), F.col("_bucket").alias("_in")).agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_source").orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_source", "_in", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    offsets = offsets.join(of_source, F.expr("_source <=> _of")).drop("_of")
+    # written, so that the join below knows its size before the texts are shuffled for it
+    offsets = materialise(offsets.join(of_source, F.expr("_source <=> _of")).drop("_of"), "offsets")
     order = Window.partitionBy("source", "_bucket").orderBy("_hash", "doc_id", "text_hash")
     ranked = keyed.withColumn("_row", F.row_number().over(order))
     ranked = ranked.join(offsets, F.expr("source <=> _source AND _bucket = _in"))
