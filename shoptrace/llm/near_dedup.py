@@ -163,7 +163,8 @@ def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     columns = ["bucket", "node", "n_shingles", "able", "component", "mine"]
     buckets = held.withColumn("able", F.col("n_shingles")).withColumn("component", F.col("node"))
     buckets = materialise(buckets.withColumn("bucket", F.explode("mine")).select(columns), "buckets")
-    involved = buckets.select("node").distinct()
+    # written, so that the join below knows its size before the texts are shuffled for it
+    involved = materialise(buckets.select("node").distinct(), "involved")
     schema = "node long, shingles array<long>"
     sets = materialise(texts.join(involved, "node", "left_semi").mapInArrow(_shingle_sets, schema), "shingle_sets")
     found = labels = None
