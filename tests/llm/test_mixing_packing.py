@@ -32,6 +32,59 @@ def test_schedule(make_docs, monkeypatch):
     assert mixing.schedule(make_docs([]).limit(0)).count() == 0
 
 
+def _mixed_as_scheduled(docs, **options):
+    """(doc_id, source) in the order of ``interleave``, and by the slots of ``schedule``."""
+    found = [(r.doc_id, r.source) for r in mixing.interleave(docs, **options).collect()]
+    slots = sorted(mixing.schedule(docs, **options).collect(), key=lambda r: (r.slot, r.place))
+    return found, [(r.doc_id, r.source) for r in slots]
+
+
+def test_whole_rows_are_shuffled_once(spark, make_docs, monkeypatch):
+    """Whatever size the tables beside them have: no join but the explicit broadcasts avoids a shuffle here."""
+    monkeypatch.setattr(mixing, "BUCKET_DOCUMENTS", 16)
+    docs = make_docs([(i, f"t{i}", "en", f"s{i % 3}") for i in range(500)])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        mixed = mixing.interleave(docs, block_documents=4)
+        plan = mixed._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    shuffles = [node for node in plan.split("\n\n") if node.lstrip().startswith("(") and " Exchange" in node.split("\n")[0]]
+    assert sum("_doc#" in node for node in shuffles) == 1
+
+
+@pytest.mark.parametrize("limit", [mixing.BROADCAST_INTERVALS, 0], ids=["broadcast", "joined"])
+def test_mixed_order_is_the_schedule(make_docs, monkeypatch, limit):
+    monkeypatch.setattr(mixing, "BROADCAST_INTERVALS", limit)
+    monkeypatch.setattr(mixing, "BUCKET_DOCUMENTS", 64)
+    r = random.Random(9)
+    rows = [(i, f"t{i}", "en", r.choice(["a", "a", "a", "b", None, f"rare{i % 40}"])) for i in range(1500)]
+    found, want = _mixed_as_scheduled(make_docs(rows), block_documents=4)
+    assert found == want and len(found) == len(rows)
+
+
+def test_copies_that_a_cut_divides(make_docs):
+    """Repeated rows fill several parts of a source, of several sources, and of rows without doc_id, source or text."""
+    rows = [(i, f"t{i}", "en", "ab"[i % 2]) for i in range(60)]
+    rows += [(7, "copy", "en", "a")] * 150 + [(8, "copy", "en", "b")] * 31 + [(None, None, "en", None)] * 90 + [(9, "other", "en", None)] * 3
+    docs = make_docs(rows)
+    for block in (1, 4, 32, 1000):
+        found, want = _mixed_as_scheduled(docs, block_documents=block)
+        assert found == want and len(found) == len(rows)
+    same = make_docs([(1, "one", "en", "a")] * 300)
+    assert mixing.interleave(same, block_documents=1).exceptAll(same).count() == 0 and mixing.interleave(same, block_documents=1).count() == 300
+
+
+def test_order_within_a_source_ignores_the_bucket_size(make_docs, monkeypatch):
+    docs = make_docs([(i, f"t{i}", "en", "ab"[i % 2]) for i in range(400)])
+    found = []
+    for size in (20_000, 16):
+        monkeypatch.setattr(mixing, "BUCKET_DOCUMENTS", size)
+        found.append(sorted((r.doc_id, r.slot, r.place) for r in mixing.schedule(docs, block_documents=4).collect()))
+    assert found[0] == found[1]
+
+
 def _shrunk(used):
     return min(c for c in packing.CAPACITIES if c >= used)
 
