@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 U = np.uint64
 #: Bytes of text that one numpy step takes; a longer document is a block of its own.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
