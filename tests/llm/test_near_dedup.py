@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
+from functools import partial
 
+import pyarrow as pa
 import pytest
 
-from shoptrace.llm import near_dedup
+from shoptrace.llm import near_dedup, shared
 
 
 def shingles(text):
@@ -94,3 +97,19 @@ def test_repeated_rows_are_compared_once(make_docs, monkeypatch):
     assert found == {(1, 1), (2, 1), (3, 3)}
     assert all(joined <= 2 and sets <= 3 for joined, sets in counted) and counted
     assert near_dedup.deduplicate(make_docs(rows)).count() == 2
+
+
+def test_sketches_take_little_memory_and_ignore_the_block_size(monkeypatch):
+    r = random.Random(1)
+    texts = [" ".join(str(r.randrange(9999)) for _ in range(400)) for _ in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(texts)], names=["doc_id", "text"])
+    monkeypatch.setattr(shared, "_powers", {})
+    tracemalloc.start()
+    try:
+        assert sum(out.num_rows for out in near_dedup._sketch([batch])) == 3000
+        assert tracemalloc.get_traced_memory()[1] < 60e6
+    finally:
+        tracemalloc.stop()
+    whole = pa.Table.from_batches(near_dedup._sketch([batch])).combine_chunks()
+    monkeypatch.setattr(near_dedup, "blocks", partial(shared.blocks, limit=1 << 14))
+    assert pa.Table.from_batches(near_dedup._sketch([batch])).combine_chunks().equals(whole)
